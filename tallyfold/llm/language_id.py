@@ -100,11 +100,12 @@ class Judge:
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
     """``docs`` with one struct column ``language``: lang_pred, score (0 to 1), margin and rejected."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    settings = (model.level, model.block_bytes, model.min_margin, model.sharpness)
+    shared = docs.sparkSession.sparkContext.broadcast(model.content)
 
     @F.pandas_udf(RESULT)
     def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        judge = Judge(shared.value)
+        judge = Judge(LanguageModel(shared.value, *settings))
         for texts in batches:
             yield pd.DataFrame([judge(t) for t in texts], columns=["lang_pred", "score", "margin", "rejected"])
 

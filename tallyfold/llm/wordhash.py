@@ -1,0 +1,37 @@
+"""64-bit hashes of words and of runs of words, vectorised; words are cut at ASCII white space, A-Z lower-cased."""
+
+from __future__ import annotations
+
+import numpy as np
+import xxhash
+
+MIX = np.uint64(0x9E3779B97F4A7C15)
+SHIFT = np.uint64(29)
+
+
+class WordHashes(dict):
+    """Hash of each word met, remembered up to a bound."""
+
+    LIMIT = 500_000
+
+    def __missing__(self, word: bytes) -> int:
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(self) < self.LIMIT:
+            self[word] = value
+        return value
+
+    def of(self, text: str) -> np.ndarray:
+        words = text.encode("utf-8", "replace").lower().split()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def runs(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of ``k`` words; of the whole sequence if it is shorter, none if it is empty."""
+    k = min(k, len(hashes))
+    if not k:
+        return hashes
+    n = len(hashes) - k + 1
+    out = hashes[:n] * MIX
+    for j in range(1, k):
+        out = ((out ^ (out >> SHIFT)) + hashes[j : j + n]) * MIX
+    return out ^ (out >> SHIFT)
