@@ -7,13 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import decontaminate, language_id, sharding, url_filter
+from tallyfold.llm import ann, decontaminate, language_id, line_dedup, minhash, packing, passages, sharding, toxicity, url_filter
 from tallyfold.sources.tables import table
 
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/"))
 SHARDS, TABLE_SIZE = 64, 6421
 
 
+def tokenizer_path() -> str:
+    """The vocabulary file of the packing query; installed on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """Whether a document is kept from all learning: crc32 of its id as text, modulo 5, is 0. A null id is held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(True))
@@ -33,12 +40,52 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, model).select("doc_id", "held_out", "language.*")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_sharding, op3_language_id, op6_decontamination)}
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs).select("doc_id", "line_dedup.n_lines", "line_dedup.n_dropped", F.sha2("text", 256).alias("text_sha256"))
+
+
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out().alias("held_out"))
+    labels = table(spark, sf_dir, "labels").where(F.col("toxic").isNotNull() & ~held_out()).select("doc_id", "toxic")
+    # The bounded sample is drawn from the labels, which are small rows; only then are its texts read.
+    picked = toxicity.pick(labels, "toxic", F.xxhash64("doc_id"))
+    model = toxicity.fit(docs.where(~F.col("held_out")).join(F.broadcast(picked), "doc_id"), order_by=F.xxhash64("doc_id"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", "held_out", "toxicity.score", "toxicity.predicted", "toxicity.sentences", "toxicity.offending")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_url_filter, op2_sharding, op3_language_id, op4_substring_dedup, op5_packing, op6_decontamination, op7_line_dedup, op8_ann, op9_minhash, op10_toxicity)
+}
 
 
 def oracles() -> dict[str, str]:
-    return {"op1_url_filter": url_filter.oracle(RULES), "op2_sharding": sharding.oracle(SHARDS, TABLE_SIZE), "op6_decontamination": decontaminate.oracle()}
+    """SQL can't express compression, chaining, tokenizing, forests or training; those queries have tests against brute force instead."""
+    return {
+        "op1_url_filter": url_filter.oracle(RULES),
+        "op2_sharding": sharding.oracle(SHARDS, TABLE_SIZE),
+        "op6_decontamination": decontaminate.oracle(),
+        "op7_line_dedup": line_dedup.oracle(),
+    }
