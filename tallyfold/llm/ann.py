@@ -106,7 +106,7 @@ def searcher(queries: Broadcast, k: int, trees: int, reach: float, longest: floa
 
 
 def neighbours(
-    vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = 20, trees: int = 32, reach: float = 0.9,
+    vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = 20, trees: int = 32, reach: float = 0.75,
     segment_rows: int = 4096, whole_rows: int = 512, block_rows: int = 8192, seed: int = 11,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the nearest found of each query row (``is_query``, a condition on ``vectors``)."""

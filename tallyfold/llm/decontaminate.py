@@ -126,6 +126,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id"
     """``docs``, all columns, without the documents that hold a benchmark window. The join is by id and
     text hash, against the contaminated documents alone; which side is broadcast, if any, is Spark's choice by size."""
     bad = contamination(docs, benchmark, doc, text, **settings).where(F.size("spans") > 0).select(F.col(doc).alias("_bad_doc"), F.col("th").alias("_bad_th"))
+    bad = written(bad, "contaminated")  # as a table its size is known, so Spark broadcasts it if, and only if, it is small
     same = F.col("_bad_th").eqNullSafe(F.xxhash64(F.col(text))) & F.col("_bad_doc").eqNullSafe(F.col(doc))
     return docs.join(bad, same, "left_anti")
 

@@ -134,16 +134,16 @@ def dedup_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_wo
 
 def oracle(min_words: int = 5) -> str:
     """DuckDB SQL for the digest of :func:`dedup_lines` over ``documents``: lines that share a first or last half are compared word by word."""
-    half = lambda m, side: f"hash({m}, {side}, array_to_string({'w[1:' + m + ' // 2]' if side > 0 else f'w[len(w) - {m} // 2 + 1:]'}, ' '))"
+    half = lambda m, side: f"hash({m}, {side}, array_to_string({'w[1:(' + m + ' // 2)]' if side > 0 else f'w[len(w) - ({m} // 2) + 1:]'}, ' '))"
     return f"""
     WITH raw AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents),
     l AS (SELECT doc_id, no, line, trim(line, ' ' || chr(9) || chr(13)) AS t FROM raw),
-    d AS (SELECT t, min((doc_id, no)) AS at, string_split(t, ' ') AS w FROM l WHERE t <> '' GROUP BY t),
-    k AS (SELECT t, at, w, len(w) AS n FROM d WHERE len(w) >= {min_words}),
-    key AS (SELECT DISTINCT t, at, w, n, unnest([{half("n", 1)}, {half("n", -1)}, {half("(n - 1)", 1)}, {half("(n - 1)", -1)}]) AS h FROM k),
-    near AS (SELECT DISTINCT b.t FROM key a JOIN key b USING (h) WHERE a.at < b.at AND abs(a.n - b.n) <= 1 AND
+    d AS (SELECT t, min((doc_id, no)) AS pl, string_split(t, ' ') AS w FROM l WHERE t <> '' GROUP BY t),
+    k AS (SELECT t, pl, w, len(w) AS n FROM d WHERE len(w) >= {min_words}),
+    key AS (SELECT DISTINCT t, pl, w, n, unnest([{half("n", 1)}, {half("n", -1)}, {half("(n - 1)", 1)}, {half("(n - 1)", -1)}]) AS h FROM k),
+    near AS (SELECT DISTINCT b.t FROM key a JOIN key b USING (h) WHERE a.pl < b.pl AND abs(a.n - b.n) <= 1 AND
       len(list_filter(range(1, least(a.n, b.n) + 1), lambda i: a.w[1:i] = b.w[1:i])) + len(list_filter(range(1, least(a.n, b.n) + 1), lambda i: a.w[a.n - i + 1:] = b.w[b.n - i + 1:])) >= greatest(a.n, b.n) - 1),
-    j AS (SELECT doc_id, no, line, l.t, l.t <> '' AND (d.at <> (doc_id, no) OR near.t IS NOT NULL) AS gone FROM l LEFT JOIN d ON l.t = d.t LEFT JOIN near ON l.t = near.t),
+    j AS (SELECT doc_id, no, line, l.t, l.t <> '' AND (d.pl <> (doc_id, no) OR near.t IS NOT NULL) AS gone FROM l LEFT JOIN d ON l.t = d.t LEFT JOIN near ON l.t = near.t),
     g AS (SELECT doc_id, count(*) FILTER (t <> '') AS n_lines, count(*) FILTER (gone) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (NOT gone), '') AS kept FROM j GROUP BY doc_id)
     SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped, CASE WHEN text IS NOT NULL THEN sha256(coalesce(kept, '')) END AS text_sha256
     FROM documents LEFT JOIN g USING (doc_id)"""

@@ -179,3 +179,10 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", se
     rows = signed.select("doc", "th", "n", "cls").join(ids, F.col("cls") == F.col("c2"), "left")
     component = F.when(F.col("cls").isNull(), F.col("doc")).otherwise(F.col("least"))
     return rows.select(F.col("doc").alias(doc), "th", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col(doc).eqNullSafe(F.col("component_id")))
+
+
+def drop_near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", settings: Settings | None = None) -> DataFrame:
+    """``docs``, all columns, with one document of each component: that of the smallest id."""
+    gone = near_duplicates(docs, doc, text, settings).where("NOT kept").select(F.col(doc).alias("_nd_doc"), F.col("th").alias("_nd_th"))
+    gone = written(gone, "duplicates")  # as a table its size is known, so Spark broadcasts it if, and only if, it is small
+    return docs.join(gone, F.col("_nd_doc").eqNullSafe(F.col(doc)) & F.col("_nd_th").eqNullSafe(F.xxhash64(F.col(text))), "left_anti")
