@@ -10,7 +10,7 @@ band are linked without listing all pairs: first each band's classes with its mo
 class; what these links join is one component; then, only in bands that still hold several
 components, classes of different components with each other, passed on only if one-bit signatures allow the similarity.
 All links are confirmed on the full sets. A link that could join two components is thus lost only if no
-band is shared, which at the threshold itself has a probability near 1e-6, or the one-bit estimate is off by 6 sigma.
+band is shared, which at the threshold itself has a probability near 1e-6, or the one-bit estimate is off by 5 sigma.
 
 Defined results: null texts and texts without words have an empty set, are linked with nothing and are
 kept; a text of fewer words than a shingle is one shingle; rows of the same id and text share their result, so both are
@@ -42,12 +42,23 @@ class Settings:
     percent: int = 80
     bands: int = 44
     rows: int = 6
+    bits: int = 512
     seed: int = 7
 
     @property
-    def length(self) -> int:
+    def banded(self) -> int:
         return self.bands * self.rows
 
+    @property
+    def length(self) -> int:
+        return max(self.bits, self.banded)
+
+    @property
+    def most_apart(self) -> int:
+        """Of the one-bit coordinates, how many differ at most at the threshold: half of 1 - similarity, and 5 sigma more."""
+        p = (1 - self.percent / 100) / 2
+        return int(self.bits * p + 5 * (self.bits * p * (1 - p)) ** 0.5)
+
 
 class Signer:
     """Signatures for one task: the ranking of the ring's places and the bands' multipliers."""
@@ -71,11 +82,11 @@ class Signer:
         return out
 
     def bands(self, signature: np.ndarray) -> np.ndarray:
-        keys = (signature.reshape(self.s.bands, self.s.rows).astype(np.uint64) * self.times).sum(axis=1, dtype=np.uint64)
+        keys = (signature[: self.s.banded].reshape(self.s.bands, self.s.rows).astype(np.uint64) * self.times).sum(axis=1, dtype=np.uint64)
         return (keys ^ (keys >> np.uint64(31))).view(np.int64)
 
     def bits(self, signature: np.ndarray) -> np.ndarray:
-        packed = np.packbits((signature & 1).astype(np.uint8))
+        packed = np.packbits((signature[: self.s.bits] & 1).astype(np.uint8))
         return np.concatenate([packed, np.zeros(-len(packed) % 8, np.uint8)]).view(np.int64)
 
 
@@ -157,13 +168,15 @@ def links(signed: DataFrame, docs: DataFrame, doc: str, text: str, s: Settings)
     named = shared.join(roots, F.col("cls") == F.col("node"), "left").select("key", "cls", "n", "bits", F.coalesce("root", "cls").alias("root"))
     named = written(named, "named")
     open_keys = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    left = named.join(open_keys, "key", "left_semi")
+    left = written(named.join(open_keys, "key", "left_semi"), "open")
+    own = left.groupBy("cls").agg(F.collect_set("key").alias("keys"))  # at most one key a band
+    left = left.join(own, "cls")
     x, y = left.alias("x"), left.alias("y")
-    apart = sum(F.bit_count(F.col("x.bits")[k].bitwiseXOR(F.col("y.bits")[k])) for k in range(-(-s.length // 64)))
-    most = int(s.length * ((1 - s.percent / 100) / 2 + 6 * (0.25 * (1 - (s.percent / 100) ** 2) / s.length) ** 0.5))
+    apart = sum(F.bit_count(F.col("x.bits")[k].bitwiseXOR(F.col("y.bits")[k])) for k in range(-(-s.bits // 64)))
     sized = (F.col("x.n") * 100 >= F.col("y.n") * s.percent) & (F.col("y.n") * 100 >= F.col("x.n") * s.percent)
-    cross = (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root")) & sized & (apart <= most)
-    more = x.join(y, cross).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
+    once = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")  # of the keys that two classes share, only the least
+    cross = (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root")) & sized & (apart <= s.most_apart) & once
+    more = x.join(y, cross).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
     return classes, found.unionAll(written(verified(more, texts.dropDuplicates(["cls"]), s), "links"))
 
 
