@@ -26,6 +26,8 @@ from tallyfold.plans.recovery import written
 
 LAST = (1 << 63) - 1
 SEED = 0x51ED
+#: Up to so many places of 16 bytes each are broadcast; beyond it, they are joined by shuffling.
+BROADCAST_PLACES = 500_000
 
 
 def running_xor(values: Column) -> Column:
@@ -45,6 +47,11 @@ def _lines(docs: DataFrame, doc: str, text: str) -> DataFrame:
     return rows.select("doc", "th", "no", F.btrim("line", F.lit(" \t\r")).alias("line")).where("line <> ''")
 
 
+def _place() -> Column:
+    """A line's place, (doc, no), as one number of the same order, so that its minimum needs no sorting."""
+    return (F.col("doc").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(11,0)") + F.col("no")).cast("decimal(38,0)").alias("place")
+
+
 def _hash(line: str = "line") -> list[Column]:
     return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(SEED), F.col(line)).alias("h2")]
 
@@ -56,19 +63,19 @@ def _halves(n: Column) -> Column:
 
 
 def _variants(lines: DataFrame) -> DataFrame:
-    """(id, doc, no, key, whole): all keys of each line, ``whole`` for the undeleted line."""
-    rows = lines.select("id", "doc", "no", F.split("line", " ").alias("w")).withColumn("n", F.size("w"))
-    rows = rows.select("id", "doc", "no", "n", F.transform("w", lambda x, i: F.xxhash64(i, x)).alias("at"), F.transform("w", lambda x, i: F.xxhash64(i - 1, x)).alias("moved"))
-    rows = rows.select("id", "doc", "no", "n", "at", running_xor(F.col("at")).alias("p"), running_xor(F.col("moved")).alias("q"))
-    rows = rows.select("id", "doc", "no", "n", "at", "p", "q", F.get("p", F.col("n") - 1).alias("all"), F.get("q", F.col("n") - 1).alias("end"), F.explode(F.sequence(F.lit(-1), F.col("n") - 1)).alias("j"))
+    """(place, key, kind): all keys of each line; kind tells the undeleted line from variants."""
+    rows = lines.select("place", F.split("line", " ").alias("w")).withColumn("n", F.size("w"))
+    rows = rows.select("place", "n", F.transform("w", lambda x, i: F.xxhash64(i, x)).alias("at"), F.transform("w", lambda x, i: F.xxhash64(i - 1, x)).alias("moved"))
+    rows = rows.select("place", "n", "at", running_xor(F.col("at")).alias("p"), running_xor(F.col("moved")).alias("q"))
+    rows = rows.select("place", "n", "at", "p", "q", F.get("p", F.col("n") - 1).alias("all"), F.get("q", F.col("n") - 1).alias("end"), F.explode(F.sequence(F.lit(-1), F.col("n") - 1)).alias("j"))
     j, zero = F.col("j"), F.lit(0).cast("long")
     replaced = F.xxhash64(F.lit("r"), F.col("n"), j, F.col("all").bitwiseXOR(F.get("at", j)))
     less = F.coalesce(F.get("p", j - 1), zero).bitwiseXOR(F.col("end")).bitwiseXOR(F.get("q", j))
     shorter = F.xxhash64(F.lit("i"), F.col("n") - 1, less)
     whole = F.xxhash64(F.lit("i"), F.col("n"), F.col("all"))
     keys = F.when(j < 0, F.array(whole)).otherwise(F.array(replaced, shorter))
-    rows = rows.select("id", "doc", "no", j.alias("j"), F.posexplode(keys).alias("kind", "key"))
-    return rows.select("id", "doc", "no", "key", F.when(F.col("j") < 0, F.lit("whole")).when(F.col("kind") == 0, F.lit("replaced")).otherwise(F.lit("shorter")).alias("kind"))
+    rows = rows.select("place", j.alias("j"), F.posexplode(keys).alias("kind", "key"))
+    return rows.select("place", "key", F.when(F.col("j") < 0, F.lit("whole")).when(F.col("kind") == 0, F.lit("replaced")).otherwise(F.lit("shorter")).alias("kind"))
 
 
 def _one_edit(a: Column, b: Column) -> Column:
@@ -78,41 +85,37 @@ def _one_edit(a: Column, b: Column) -> Column:
 
 
 def near_lines(lines: DataFrame, docs: DataFrame, doc: str, text: str, min_words: int) -> DataFrame:
-    """(h1, h2) of the distinct lines that are one edit from an earlier one. lines: (h1, h2, doc, no, n, halves), one row a distinct line."""
+    """``place`` of the distinct lines that are one edit from an earlier one. lines: (h1, place, n, halves), one row a distinct line."""
     long = lines.where(F.col("n") >= min_words)
-    halves = long.select("h1", "h2", "doc", "no", F.explode("halves").alias("half"))
+    halves = long.select("h1", "place", F.explode("halves").alias("half"))
     crowded = halves.groupBy("half").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("half")
-    near = halves.join(crowded, "half", "left_semi").select("h1", "h2", "doc", "no").distinct()
-    # Their words, each from its first place; the join is on that place, so no line is hot.
-    at = near.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("doc").alias("d"), F.col("no").alias("m"))
-    seen = _lines(docs, doc, text).select("doc", "no", "line", *_hash())
-    found = seen.join(at, (F.col("doc") == F.col("d")) & (F.col("no") == F.col("m")) & (F.col("h1") == F.col("a1")) & (F.col("h2") == F.col("a2")))
-    found = found.select(F.struct("h1", "h2").alias("id"), "doc", "no", "line").dropDuplicates(["id"])
-    words = written(found, "near-lines")
+    near = written(halves.join(crowded, "half", "left_semi").select("place").distinct(), "near-places")
+    # Their words, each from its first place, so no line is hot. Few places are broadcast, which leaves the texts where they are.
+    few = near.count() <= BROADCAST_PLACES
+    seen = _lines(docs, doc, text).select(_place(), "line")
+    words = written(seen.join(F.broadcast(near) if few else near, "place").dropDuplicates(["place"]), "near-lines")
 
     keys = _variants(words)
-    place = F.struct("doc", "no", "id")
-    least = keys.groupBy("key").agg(
-        F.min(F.when(F.col("kind") == "replaced", place)).alias("replaced"), F.min(F.when(F.col("kind") == "whole", place)).alias("whole"), F.min(F.when(F.col("kind") == "shorter", place)).alias("shorter"), F.count("*").alias("c")
-    ).where("c > 1").withColumnRenamed("key", "key2")
+    earliest = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("place"))).alias(kind)
+    least = keys.groupBy("key").agg(earliest("replaced"), earliest("whole"), earliest("shorter"), F.count("*").alias("c")).where("c > 1").withColumnRenamed("key", "key2")
     partner = F.when(F.col("kind") == "replaced", F.col("replaced")).when(F.col("kind") == "whole", F.col("shorter")).otherwise(F.col("whole"))
-    pairs = keys.join(least, F.col("key") == F.col("key2")).select("id", place.alias("own"), partner.alias("partner")).where("partner < own").select("id", F.col("partner.id").alias("other")).distinct()
+    pairs = keys.join(least, F.col("key") == F.col("key2")).select("place", partner.alias("other")).where("other < place").distinct()
     word = F.split("line", " ")
-    pairs = pairs.join(words.select("id", word.alias("w")), "id").join(words.select(F.col("id").alias("other"), word.alias("v")), "other")
-    right = F.when(F.size("w") == F.size("v"), _one_edit(F.col("w"), F.col("v"))).when(F.size("w") < F.size("v"), _one_edit(F.col("w"), F.col("v"))).otherwise(_one_edit(F.col("v"), F.col("w")))
-    return pairs.where(right).select("id.h1", "id.h2").distinct()
+    pairs = pairs.join(words.select("place", word.alias("w")), "place").join(words.select(F.col("place").alias("other"), word.alias("v")), "other")
+    right = F.when(F.size("w") <= F.size("v"), _one_edit(F.col("w"), F.col("v"))).otherwise(_one_edit(F.col("v"), F.col("w")))
+    return pairs.where(right).select("place").distinct()
 
 
 def decisions(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_words: int = 5) -> DataFrame:
-    """(doc, th, keep): for each document with lines, which of its non-blank lines stay, as an array of (no, keep) in order."""
+    """(doc, th, lines): for each document with lines, which of its non-blank lines stay, as an array of (no, keep) in order."""
     n = F.length(F.regexp_replace("line", "[^ ]+", "")) + 1
-    rows = _lines(docs, doc, text).withColumn("n", n).select("doc", "th", "no", *_hash(), "n", _halves(F.col("n")).alias("halves"))
-    first = rows.groupBy("h1", "h2").agg(F.min(F.struct("doc", "no")).alias("first"), F.min("n").alias("n"), *[F.min(F.col("halves")[k]).alias(f"half{k}") for k in range(4)])
-    lines = written(first.select("h1", "h2", "first.doc", "first.no", "n", F.array(*[f"half{k}" for k in range(4)]).alias("halves")), "lines")
+    rows = _lines(docs, doc, text).withColumn("n", n).select(_place(), *_hash(), "n", _halves(F.col("n")).alias("halves"))
+    first = rows.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.min("n").alias("n"), *[F.min(F.col("halves")[k]).alias(f"half{k}") for k in range(4)])
+    lines = written(first.select("h1", "h2", "place", "n", F.array(*[f"half{k}" for k in range(4)]).alias("halves")), "lines")
     gone = near_lines(lines, docs, doc, text, min_words).withColumn("near", F.lit(True))
-    known = lines.join(gone, ["h1", "h2"], "left").select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("doc").alias("d"), F.col("no").alias("m"), F.coalesce("near", F.lit(False)).alias("near"))
-    places = _lines(docs, doc, text).select("doc", "th", "no", *_hash())
-    keep = ~F.col("near") & (F.col("doc") == F.col("d")) & (F.col("no") == F.col("m"))
+    known = lines.select("h1", "h2", "place").join(gone, "place", "left").select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("place").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
+    places = _lines(docs, doc, text).select("doc", "th", "no", _place(), *_hash())
+    keep = ~F.col("near") & (F.col("place") == F.col("first"))
     decided = places.join(known, (F.col("h1") == F.col("a1")) & (F.col("h2") == F.col("a2"))).select("doc", "th", F.struct("no", keep.alias("keep")).alias("line"))
     return decided.groupBy("doc", "th").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
