@@ -60,7 +60,7 @@ class Features(dict):
         return set().union(*map(self.__getitem__, set(WORD.findall(sentence))))
 
 
-def train(texts: list[str], labels: list[int], size: int = 1 << 18, rounds: int = 120, rate: float = 0.5, decay: float = 1e-5, start: float = -9.0, rarest: float = 1 / 400) -> Model:
+def train(texts: list[str], labels: list[int], size: int = 1 << 18, rounds: int = 120, rate: float = 1.0, decay: float = 1e-5, start: float = -9.0, rarest: float = 1 / 400) -> Model:
     """Full-batch AdaGrad on the noisy-or's log loss. Features in fewer than two documents, or than the share ``rarest``, are left out."""
     y = np.array(labels, np.float64)
     feature, weights, bias = Features(size), np.zeros(size), start
