@@ -8,7 +8,8 @@ shingle are neighbours in the ranking, so a signature costs one contiguous slice
 Texts of equal sets are one class from the start, so copies never meet each other. Classes that share a
 band are linked without listing all pairs: first each band's classes with its most popular
 class; what these links join is one component; then, only in bands that still hold several
-components, classes of different components with each other, passed on only if one-bit signatures allow the similarity.
+components, classes of different components with each other, passed on only if one-bit signatures of ``bits`` coordinates,
+made for these classes alone, allow the similarity.
 All links are confirmed on the full sets. A link that could join two components is thus lost only if no
 band is shared, which at the threshold itself has a probability near 1e-6, or the one-bit estimate is off by 5 sigma.
 
@@ -33,7 +34,7 @@ from tallyfold.llm.wordhash import WordHashes, runs
 from tallyfold.plans.recovery import written
 
 RING_BITS = 20
-SIGNED = "doc long, th long, n long, cls long, bands array<long>, bits array<long>"
+SIGNED = "doc long, th long, n long, cls long, bands array<long>"
 
 
 @dataclass(frozen=True)
@@ -42,17 +43,13 @@ class Settings:
     percent: int = 80
     bands: int = 44
     rows: int = 6
-    bits: int = 512
+    bits: int = 4096
     seed: int = 7
 
     @property
     def banded(self) -> int:
         return self.bands * self.rows
 
-    @property
-    def length(self) -> int:
-        return max(self.bits, self.banded)
-
     @property
     def most_apart(self) -> int:
         """Of the one-bit coordinates, how many differ at most at the threshold: half of 1 - similarity, and 5 sigma more."""
@@ -61,13 +58,13 @@ class Settings:
 
 
 class Signer:
-    """Signatures for one task: the ranking of the ring's places and the bands' multipliers."""
+    """Signatures of ``length`` coordinates for one task: the ranking of the ring's places and the bands' multipliers."""
 
-    def __init__(self, s: Settings) -> None:
+    def __init__(self, s: Settings, length: int) -> None:
         draw = np.random.default_rng(s.seed)
         ranks = draw.permutation(1 << RING_BITS).astype(np.uint32)
-        self.ranks = np.lib.stride_tricks.sliding_window_view(np.concatenate([ranks, ranks[: s.length]]), s.length)
-        self.s, self.times = s, draw.integers(1, 1 << 63, (s.bands, s.rows), np.uint64) * np.uint64(2) + np.uint64(1)
+        self.ranks = np.lib.stride_tricks.sliding_window_view(np.concatenate([ranks, ranks[:length]]), length)
+        self.s, self.length, self.times = s, length, draw.integers(1, 1 << 63, (s.bands, s.rows), np.uint64) * np.uint64(2) + np.uint64(1)
         self.spread = np.uint64(int(draw.integers(1, 1 << 63)) * 2 + 1)
         self.hashes = WordHashes()
 
@@ -76,9 +73,9 @@ class Signer:
 
     def signature(self, shingles: np.ndarray) -> np.ndarray:
         places = (shingles * self.spread) >> np.uint64(64 - RING_BITS)
-        out = np.full(self.s.length, 0xFFFFFFFF, np.uint32)
-        for at in range(0, len(places), 512):
-            np.minimum(out, self.ranks[places[at : at + 512]].min(axis=0), out=out)
+        out = np.full(self.length, 0xFFFFFFFF, np.uint32)
+        for at in range(0, len(places), 256):
+            np.minimum(out, self.ranks[places[at : at + 256]].min(axis=0), out=out)
         return out
 
     def bands(self, signature: np.ndarray) -> np.ndarray:
@@ -86,7 +83,7 @@ class Signer:
         return (keys ^ (keys >> np.uint64(31))).view(np.int64)
 
     def bits(self, signature: np.ndarray) -> np.ndarray:
-        packed = np.packbits((signature[: self.s.bits] & 1).astype(np.uint8))
+        packed = np.packbits((signature & 1).astype(np.uint8))
         return np.concatenate([packed, np.zeros(-len(packed) % 8, np.uint8)]).view(np.int64)
 
 
@@ -98,30 +95,45 @@ def _lists(rows: list[np.ndarray | None]) -> pa.Array:
 
 def sign(docs: DataFrame, doc: str, text: str, s: Settings) -> DataFrame:
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signer = Signer(s)
+        signer = Signer(s, s.banded)
         for batch in batches:
-            n, cls, bands, bits = [], [], [], []
+            n, cls, bands = [], [], []
             for t in batch.column("text"):
                 found = signer.shingles(t.as_py())
                 n.append(len(found))
                 sig = signer.signature(found) if len(found) else None
                 cls.append(None if sig is None else xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63))
                 bands.append(None if sig is None else signer.bands(sig))
-                bits.append(None if sig is None else signer.bits(sig))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc"), batch.column("th"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), _lists(bands), _lists(bits)],
-                ["doc", "th", "n", "cls", "bands", "bits"],
+                [batch.column("doc"), batch.column("th"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), _lists(bands)],
+                ["doc", "th", "n", "cls", "bands"],
             )
 
     rows = docs.select(F.col(doc).cast("long").alias("doc"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
     return rows.mapInArrow(signed, SIGNED)
 
 
+def sketches(texts: DataFrame, s: Settings) -> DataFrame:
+    """(cls, n, bits): set size and one-bit signature of each text. texts: (cls, text)."""
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signer = Signer(s, s.bits)
+        for batch in batches:
+            n, bits = [], []
+            for t in batch.column("text"):
+                found = signer.shingles(t.as_py())
+                n.append(len(found))
+                bits.append(signer.bits(signer.signature(found)))
+            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(n, pa.int64()), _lists(bits)], ["cls", "n", "bits"])
+
+    return texts.select("cls", "text").mapInArrow(sketched, "cls long, n long, bits array<long>")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     """Those of ``pairs`` (a, b: classes) whose full sets are similar enough; texts: (cls, text)."""
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signer, kept = Signer(s), {}
+        signer, kept = Signer(s, s.banded), {}
 
         def of(cls: int, text: pa.Scalar) -> np.ndarray:
             if cls not in kept:
@@ -149,9 +161,9 @@ def links(signed: DataFrame, docs: DataFrame, doc: str, text: str, s: Settings)
     first = signed.where("cls IS NOT NULL").groupBy("cls").agg(F.min(F.struct(F.coalesce("doc", F.lit((1 << 63) - 1)).alias("o"), "doc", "th")).alias("r"))
     classes = first.select("cls", "r.doc", "r.th")
     mine = F.col("c.cls").eqNullSafe(F.col("s.cls")) & F.col("c.doc").eqNullSafe(F.col("s.doc")) & F.col("c.th").eqNullSafe(F.col("s.th"))
-    whole = signed.alias("s").join(classes.alias("c"), mine, "left_semi").select("cls", "n", "bits", F.explode("bands").alias("key"))
+    whole = signed.alias("s").join(classes.alias("c"), mine, "left_semi").select("cls", F.explode("bands").alias("key"))
     crowded = whole.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select(F.col("key").alias("key2"), "c")
-    shared = written(whole.join(crowded, F.col("key") == F.col("key2")).select("key", "cls", "n", "bits", "c").dropDuplicates(["key", "cls"]), "bands")
+    shared = written(whole.join(crowded, F.col("key") == F.col("key2")).select("key", "cls", "c").dropDuplicates(["key", "cls"]), "bands")
 
     wanted = shared.select("cls").distinct().join(classes, "cls").select("cls", F.col("doc").alias("d"), F.col("th").alias("h"))
     rows = docs.select(F.col(doc).cast("long").alias("doc"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
@@ -165,12 +177,13 @@ def links(signed: DataFrame, docs: DataFrame, doc: str, text: str, s: Settings)
     found = written(verified(star, texts.dropDuplicates(["cls"]), s), "links")
 
     roots = components(found, "a", "b")
-    named = shared.join(roots, F.col("cls") == F.col("node"), "left").select("key", "cls", "n", "bits", F.coalesce("root", "cls").alias("root"))
+    named = shared.join(roots, F.col("cls") == F.col("node"), "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
     named = written(named, "named")
     open_keys = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     left = written(named.join(open_keys, "key", "left_semi"), "open")
     own = left.groupBy("cls").agg(F.collect_set("key").alias("keys"))  # at most one key a band
-    left = left.join(own, "cls")
+    sketch = sketches(texts.join(own.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), s)
+    left = left.join(own, "cls").join(written(sketch, "sketches"), "cls")
     x, y = left.alias("x"), left.alias("y")
     apart = sum(F.bit_count(F.col("x.bits")[k].bitwiseXOR(F.col("y.bits")[k])) for k in range(-(-s.bits // 64)))
     sized = (F.col("x.n") * 100 >= F.col("y.n") * s.percent) & (F.col("y.n") * 100 >= F.col("x.n") * s.percent)
