@@ -76,3 +76,19 @@ def peel_two(primary: DataFrame, replica: DataFrame, depth: int, most: int = 512
     for n in L.NAMES:
         same = same & (F.col(n) == F.col(f"w_{n}"))
     return wanted.join(other, same).select("pfx", "k1", "k2")
+
+
+def peel_three(primary: DataFrame, replica: DataFrame, depth: int, most: int = 256) -> DataFrame:
+    """(pfx, k1, k2, k3), rising, of prefixes with three keys more and at most ``most`` keys, so a prefix has at most ``most`` squared pairs:
+    each pair looks for the key that completes the difference."""
+    gap = mismatches(primary, replica, depth).where(f"pn = rn + 3 AND pn <= {most}").select(F.col("pfx").alias("gap"), *[F.pmod(F.col(f"p_{n}") - F.col(f"r_{n}"), F.lit(m)).alias(f"d_{n}") for n, m in zip(L.NAMES, L.MODULI, strict=True)])
+    keys = with_lanes(primary.withColumn("pfx", prefix(F.col("k"), depth)))
+    keys = written(keys.join(gap, F.col("pfx") == F.col("gap")).drop("gap"), "peeled")
+    a, b = keys.alias("a"), keys.alias("b")
+    rest = [F.pmod(F.col(f"a.d_{n}") - F.col(f"a.{n}") - F.col(f"b.{n}"), F.lit(m)).alias(f"w_{n}") for n, m in zip(L.NAMES, L.MODULI, strict=True)]
+    pairs = a.join(b, (F.col("a.pfx") == F.col("b.pfx")) & (F.col("a.k") < F.col("b.k"))).select(F.col("a.pfx").alias("pfx"), F.col("a.k").alias("k1"), F.col("b.k").alias("k2"), *rest)
+    other = keys.select(F.col("pfx").alias("pfx2"), F.col("k").alias("k3"), *L.NAMES)
+    same = (F.col("pfx") == F.col("pfx2")) & (F.col("k2") < F.col("k3"))
+    for n in L.NAMES:
+        same = same & (F.col(n) == F.col(f"w_{n}"))
+    return pairs.join(other, same).select("pfx", "k1", "k2", "k3")

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyfold.functions import fasthash, wire
 from tallyfold.functions import lanes as L
-from tallyfold.functions import wire
-from tallyfold.operators import bags, oplog, trie
+from tallyfold.operators import bags, oplog, sync, trie
 from tallyfold.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -296,3 +296,29 @@ def reconcile_fallback(spark, d):
     diff = trie.difference(p, r)
     repaired = r.exceptAll(diff.where("op = 'remove'").select("k")).unionAll(diff.where("op = 'add'").select("k"))
     return bags.bag_digest(repaired).select("n", L.digest_hex().alias("digest"))
+
+
+@query(f"WITH {LEVELS(7)}, x AS (SELECT pfx, list(k ORDER BY k) AS ks FROM (SELECT {PFX(7)} AS pfx, k FROM p WHERE k NOT IN (SELECT k FROM r)) GROUP BY pfx HAVING count(*) = 3) SELECT pfx, ks[1] AS k1, ks[2] AS k2, ks[3] AS k3 FROM x WHERE pfx NOT IN (SELECT {PFX(7)} FROM r WHERE k NOT IN (SELECT k FROM p)) AND pfx IN (SELECT pfx FROM a WHERE n <= 256)")
+def peel_three(spark, d):
+    return trie.peel_three(*sides(spark, d), 7)
+
+
+@query(None)
+def xxh3_digest(spark, d):
+    """The digest of all pages by the faster item hash; SQL has no such hash, so tests compare it with the hash's own library."""
+    pages = table(spark, d, "pages").where("html IS NOT NULL").select(fasthash.xxh3_key(F.col("html")).alias("k"))
+    return bags.bag_digest(pages).select("n", L.digest_hex().alias("digest"))
+
+
+VARINT = lambda n: f"(CASE WHEN {n} < 128 THEN 1 WHEN {n} < 16384 THEN 2 WHEN {n} < 2097152 THEN 3 WHEN {n} < 268435456 THEN 4 ELSE 5 END)"
+
+
+@query(
+    "WITH g AS (SELECT event_id AS pos, event_type IN ('view', 'click', 'signup') AS is_add FROM events), "
+    "c AS (SELECT count(*) FILTER (pos < 9000) AS start, count(*) FILTER (pos >= 9000 AND is_add) AS adds, count(*) FILTER (pos >= 9000 AND NOT is_add) AS deletes FROM g) "
+    "SELECT start, false AS used_fallback, adds AS items_added, deletes AS items_deleted, "
+    f"(1 + {VARINT('start')} + 32)::BIGINT AS bytes_sent, (1 + {VARINT('(adds + deletes)')} + (adds + deletes + 7) // 8 + 32 * (adds + deletes))::BIGINT AS bytes_received, 1::INT AS round_trips, 50::INT AS latency_ms FROM c"
+)
+def sync_first_answer(spark, d):
+    g = log(spark, d)
+    return sync.first_answer(primary=g, replica=g.where("pos < 9000"))
