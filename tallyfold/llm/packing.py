@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from tallyfold.plans.recovery import written
 
 PIECES = "doc long, row long, start long, length long, ids_crc32 long, doc_tokens long"
-CACHE = 600_000
+#: Stretches whose ids a task remembers; more are forgotten together, before the next text.
+CACHE = 100_000
 #: A word of Latin letters, which normalization only lower-cases, and punctuation after it that begins no contraction.
 SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:%&$#*|]*)")
 
