@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from tallyfold.plans.recovery import written
 
 PIECES = "doc long, row long, start long, length long, ids_crc32 long, doc_tokens long"
-#: Of so many stretches, and as many older ones, a task remembers the ids; a single text may add its own.
-CACHE = 70_000
+#: Stretches whose ids a task remembers; more are forgotten together, before the next text.
+CACHE = 100_000
 #: A word of Latin letters, which normalization only lower-cases, and punctuation after it that begins no contraction.
 SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:%&$#*|]*)")
 
@@ -44,7 +44,6 @@ class Encoder:
 
         self.tokenizer, self.end = Tokenizer.from_file(path), array.array("I", [end]).tobytes()
         self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
@@ -65,13 +64,11 @@ class Encoder:
 
     def __call__(self, text: str) -> np.ndarray:
         stretches, known = text.replace("\n", " ").split(" "), self.known
-        if len(known) > CACHE:  # what was met since the last time stays at hand; older ones go
-            self.older, self.known = known, {}
-            known = self.known
-        if len(self.parts) > 2 * CACHE:
+        if len(known) > CACHE:
+            known.clear()
             self.parts.clear()
         for stretch in set(stretches).difference(known):
-            known[stretch] = self.older.get(stretch) or self._stretch(stretch)
+            known[stretch] = self._stretch(stretch)
         return np.frombuffer(b"".join(map(known.__getitem__, stretches)) + self.end, np.uint32)
 
 
