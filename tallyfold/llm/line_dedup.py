@@ -13,7 +13,8 @@ an insertion key has one whole line, so each line needs only the earliest of a k
 pairs. Partners are verified on their words. Hashes of variants come from running XORs, so a line's keys cost time in proportion to its words.
 
 Defined results: null texts stay null, empty ones empty, with no lines; rows of equal id and text share one
-decision and each keep it; null ids come last in the order of documents; other columns are kept as they are
+decision and each keep it; null ids come last in the order of documents; lines at one number of documents with one id, or
+with null ids, but different texts are told apart and ordered by the text's hash; other columns are kept as they are
 and not read, so clashing names don't matter. An empty table gives an empty result.
 """
 
@@ -26,7 +27,7 @@ from tallyfold.plans.recovery import written
 
 LAST = (1 << 63) - 1
 SEED = 0x51ED
-#: Up to so many places of 16 bytes each are broadcast; beyond it, they are joined by shuffling.
+#: Up to so many places of 40 bytes each are broadcast; beyond it, they are joined by shuffling.
 BROADCAST_PLACES = 500_000
 
 
@@ -48,8 +49,10 @@ def _lines(docs: DataFrame, doc: str, text: str) -> DataFrame:
 
 
 def _place() -> Column:
-    """A line's place, (doc, no), as one number of the same order, so that its minimum needs no sorting."""
-    return (F.col("doc").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(11,0)") + F.col("no")).cast("decimal(38,0)").alias("place")
+    """A line's place, (doc, no, upper 31 bits of th), as one number of the same order, so that its minimum needs no sorting. Only with the
+    whole of th is it a place of one text, as documents may share an id or have none."""
+    low = F.shiftleft(F.col("no").cast("long"), 31).bitwiseOR(F.shiftrightunsigned("th", 33))
+    return (F.col("doc").cast("decimal(20,0)") * F.lit(1 << 62).cast("decimal(19,0)") + low).cast("decimal(38,0)").alias("place")
 
 
 def _hash(line: str = "line") -> list[Column]:
@@ -63,19 +66,19 @@ def _halves(n: Column) -> Column:
 
 
 def _variants(lines: DataFrame) -> DataFrame:
-    """(place, key, kind): all keys of each line; kind tells the undeleted line from variants."""
-    rows = lines.select("place", F.split("line", " ").alias("w")).withColumn("n", F.size("w"))
-    rows = rows.select("place", "n", F.transform("w", lambda x, i: F.xxhash64(i, x)).alias("at"), F.transform("w", lambda x, i: F.xxhash64(i - 1, x)).alias("moved"))
-    rows = rows.select("place", "n", "at", running_xor(F.col("at")).alias("p"), running_xor(F.col("moved")).alias("q"))
-    rows = rows.select("place", "n", "at", "p", "q", F.get("p", F.col("n") - 1).alias("all"), F.get("q", F.col("n") - 1).alias("end"), F.explode(F.sequence(F.lit(-1), F.col("n") - 1)).alias("j"))
+    """(id, key, kind): all keys of each line; kind tells the undeleted line from variants."""
+    rows = lines.select("id", F.split("line", " ").alias("w")).withColumn("n", F.size("w"))
+    rows = rows.select("id", "n", F.transform("w", lambda x, i: F.xxhash64(i, x)).alias("at"), F.transform("w", lambda x, i: F.xxhash64(i - 1, x)).alias("moved"))
+    rows = rows.select("id", "n", "at", running_xor(F.col("at")).alias("p"), running_xor(F.col("moved")).alias("q"))
+    rows = rows.select("id", "n", "at", "p", "q", F.get("p", F.col("n") - 1).alias("all"), F.get("q", F.col("n") - 1).alias("end"), F.explode(F.sequence(F.lit(-1), F.col("n") - 1)).alias("j"))
     j, zero = F.col("j"), F.lit(0).cast("long")
     replaced = F.xxhash64(F.lit("r"), F.col("n"), j, F.col("all").bitwiseXOR(F.get("at", j)))
     less = F.coalesce(F.get("p", j - 1), zero).bitwiseXOR(F.col("end")).bitwiseXOR(F.get("q", j))
     shorter = F.xxhash64(F.lit("i"), F.col("n") - 1, less)
     whole = F.xxhash64(F.lit("i"), F.col("n"), F.col("all"))
     keys = F.when(j < 0, F.array(whole)).otherwise(F.array(replaced, shorter))
-    rows = rows.select("place", j.alias("j"), F.posexplode(keys).alias("kind", "key"))
-    return rows.select("place", "key", F.when(F.col("j") < 0, F.lit("whole")).when(F.col("kind") == 0, F.lit("replaced")).otherwise(F.lit("shorter")).alias("kind"))
+    rows = rows.select("id", j.alias("j"), F.posexplode(keys).alias("kind", "key"))
+    return rows.select("id", "key", F.when(F.col("j") < 0, F.lit("whole")).when(F.col("kind") == 0, F.lit("replaced")).otherwise(F.lit("shorter")).alias("kind"))
 
 
 def _one_edit(a: Column, b: Column) -> Column:
@@ -85,37 +88,41 @@ def _one_edit(a: Column, b: Column) -> Column:
 
 
 def near_lines(lines: DataFrame, docs: DataFrame, doc: str, text: str, min_words: int) -> DataFrame:
-    """``place`` of the distinct lines that are one edit from an earlier one. lines: (h1, place, n, halves), one row a distinct line."""
+    """(h1, h2) of the distinct lines that are one edit from an earlier one. lines: (h1, h2, place, th, n, halves), one row a distinct line."""
     long = lines.where(F.col("n") >= min_words)
-    halves = long.select("h1", "place", F.explode("halves").alias("half"))
+    halves = long.select("h1", "h2", "place", "th", F.explode("halves").alias("half"))
     crowded = halves.groupBy("half").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("half")
-    near = written(halves.join(crowded, "half", "left_semi").select("place").distinct(), "near-places")
+    near = written(halves.join(crowded, "half", "left_semi").select("h1", "h2", "place", "th").distinct(), "near-places")
+    # Numbered in the order of places, so that one number tells lines apart and orders them.
+    order = ("place", "th", "h1", "h2")
+    near = written(near.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("id", F.monotonically_increasing_id()), "near-ids")
     # Their words, each from its first place, so no line is hot. Few places are broadcast, which leaves the texts where they are.
-    few = near.count() <= BROADCAST_PLACES
-    seen = _lines(docs, doc, text).select(_place(), "line")
-    words = written(seen.join(F.broadcast(near) if few else near, "place").dropDuplicates(["place"]), "near-lines")
+    at = near.select("place", "th", "id")
+    few = at.count() <= BROADCAST_PLACES
+    seen = _lines(docs, doc, text).select(_place(), "th", "line")
+    words = written(seen.join(F.broadcast(at) if few else at, ["place", "th"]).select("id", "line").dropDuplicates(["id"]), "near-lines")
 
     keys = _variants(words)
-    earliest = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("place"))).alias(kind)
+    earliest = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("id"))).alias(kind)
     least = keys.groupBy("key").agg(earliest("replaced"), earliest("whole"), earliest("shorter"), F.count("*").alias("c")).where("c > 1").withColumnRenamed("key", "key2")
     partner = F.when(F.col("kind") == "replaced", F.col("replaced")).when(F.col("kind") == "whole", F.col("shorter")).otherwise(F.col("whole"))
-    pairs = keys.join(least, F.col("key") == F.col("key2")).select("place", partner.alias("other")).where("other < place").distinct()
+    pairs = keys.join(least, F.col("key") == F.col("key2")).select("id", partner.alias("other")).where("other < id").distinct()
     word = F.split("line", " ")
-    pairs = pairs.join(words.select("place", word.alias("w")), "place").join(words.select(F.col("place").alias("other"), word.alias("v")), "other")
+    pairs = pairs.join(words.select("id", word.alias("w")), "id").join(words.select(F.col("id").alias("other"), word.alias("v")), "other")
     right = F.when(F.size("w") <= F.size("v"), _one_edit(F.col("w"), F.col("v"))).otherwise(_one_edit(F.col("v"), F.col("w")))
-    return pairs.where(right).select("place").distinct()
+    return near.join(pairs.where(right).select("id").distinct(), "id", "left_semi").select("h1", "h2")
 
 
 def decisions(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_words: int = 5) -> DataFrame:
     """(doc, th, lines): for each document with lines, which of its non-blank lines stay, as an array of (no, keep) in order."""
     n = F.length(F.regexp_replace("line", "[^ ]+", "")) + 1
-    rows = _lines(docs, doc, text).withColumn("n", n).select(_place(), *_hash(), "n", _halves(F.col("n")).alias("halves"))
-    first = rows.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.min("n").alias("n"), *[F.min(F.col("halves")[k]).alias(f"half{k}") for k in range(4)])
-    lines = written(first.select("h1", "h2", "place", "n", F.array(*[f"half{k}" for k in range(4)]).alias("halves")), "lines")
+    rows = _lines(docs, doc, text).withColumn("n", n).select(_place(), "th", *_hash(), "n", _halves(F.col("n")).alias("halves"))
+    first = rows.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.min_by("th", "place").alias("th"), F.min("n").alias("n"), *[F.min(F.col("halves")[k]).alias(f"half{k}") for k in range(4)])
+    lines = written(first.select("h1", "h2", "place", "th", "n", F.array(*[f"half{k}" for k in range(4)]).alias("halves")), "lines")
     gone = near_lines(lines, docs, doc, text, min_words).withColumn("near", F.lit(True))
-    known = lines.select("h1", "h2", "place").join(gone, "place", "left").select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("place").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
+    known = lines.select("h1", "h2", "place", "th").join(gone, ["h1", "h2"], "left").select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("place").alias("first"), F.col("th").alias("first_th"), F.coalesce("near", F.lit(False)).alias("near"))
     places = _lines(docs, doc, text).select("doc", "th", "no", _place(), *_hash())
-    keep = ~F.col("near") & (F.col("place") == F.col("first"))
+    keep = ~F.col("near") & (F.col("place") == F.col("first")) & (F.col("th") == F.col("first_th"))
     decided = places.join(known, (F.col("h1") == F.col("a1")) & (F.col("h2") == F.col("a2"))).select("doc", "th", F.struct("no", keep.alias("keep")).alias("line"))
     return decided.groupBy("doc", "th").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 

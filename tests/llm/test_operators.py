@@ -147,6 +147,28 @@ def test_lines_within_one_edit_go(spark, docs, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+@pytest.mark.parametrize("ids", [[None] * 6, [7] * 6, [None, 7, None, 7, 3, None]])
+def test_lines_of_null_and_equal_ids_are_told_apart(spark, ids):
+    texts = ["a b c d e f\nk1 l1 m1 n1 o1", "a b c d e g\nk2 l2 m2 n2 o2", "p q r s t u\nk3 l3 m3 n3 o3", "v w x y z v\nk1 l1 m1 n1 o1", "p q r s t\nk4 l4 m4 n4 o4", "h i j h i j\nk2 l2 m2 n2 zz"]
+    docs = spark.createDataFrame([(i, t) for i, t in zip(ids, texts, strict=True)], "doc_id long, text string").withColumn("th", F.xxhash64("text"))
+    for rows in (docs, docs.orderBy(F.desc("text"))):
+        found = line_dedup.dedup_lines(rows).collect()
+        texts_of = {r.th: (2**63 if r.doc_id is None else r.doc_id, r.th % 2**64) for r in found}
+        lines = sorted((texts_of[r.th][0], no, texts_of[r.th][1], line, r.th) for r in docs.collect() for no, line in enumerate(r.text.split("\n")))
+        want, seen = {r.th: [] for r in found}, []
+        for _, _, _, line, th in lines:
+            w = line.split(" ")
+            if not any(v == w or abs(len(v) - len(w)) <= 1 and one_edit(v, w) for v in seen):
+                want[th].append(line)
+            seen.append(w)
+        assert {r.th: r.text.split("\n") if r.text else [] for r in found} == want
+
+
+def one_edit(v, w):
+    less = lambda x: [x[:i] + x[i + 1 :] for i in range(len(x))]
+    return any(v[:i] + v[i + 1 :] == w[:i] + w[i + 1 :] for i in range(len(v))) if len(v) == len(w) else w in less(v) or v in less(w)
+
+
 def test_neighbours_of_few_and_odd_vectors(spark):
     rows = [(i, [float(i % 7), 1.0, float(i)]) for i in range(60)] + [(100, None), (120, [0.0, 0.0, 0.0]), (140, [float("nan"), 1.0, 1.0]), (160, [1.0, 2.0]), (180, [1.0, None, 1.0]), (None, [1.0, 1.0, 1.0])]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
