@@ -80,6 +80,32 @@ def test_passages(spark, docs, empty):
     assert passages.repeated_passages(empty).count() == 0
 
 
+@pytest.mark.parametrize(("lines", "words"), [(2, 35), (3, 30), (4, 15)])
+def test_passages_of_lines_first_seen_elsewhere(spark, lines, words):
+    rows, want = [], {}
+    for case in range(12):
+        parts = [prose(words) for _ in range(lines)]
+        first = len(rows)
+        rows += [(first + i, prose(30) + " " + x + " " + prose(30)) for i, x in enumerate(parts)]
+        rows += [(first + lines, prose(20) + " " + " ".join(parts) + " " + prose(20))]
+        rows += [(first + lines + 1 + i, prose(30) + " " + x + " " + prose(30)) for i, x in enumerate(parts)]  # the nearest holders, each of one line
+        rows += [(len(rows), prose(25) + " " + " ".join(parts) + " " + prose(20))]
+        want[len(rows) - 1] = (25, 25 + lines * words)
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for doc, (start, end) in want.items():
+        own = [r for r in found if r.doc_id == doc]
+        assert set(range(start, end)) <= {i for r in own for i in range(r.start, r.start + r.n_words)}, doc
+    assert {r.doc_id for r in found} == set(want)
+
+
+def test_passages_with_inner_repetition(spark):
+    line = prose(10)
+    rows = [(1, prose(20) + " " + " ".join([line] * 7) + " " + prose(20)), (2, prose(30) + " " + " ".join([line] * 7)), (3, prose(9)), (4, "lone " * 300), (5, "lone " * 200)]
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    covered = {d: {i for r in found if r.doc_id == d for i in range(r.start, r.start + r.n_words)} for d in (2, 5)}
+    assert covered[2] >= set(range(30, 100)) and covered[5] == set(range(200)) and {r.doc_id for r in found} == {2, 5}
+
+
 def test_chain_is_best():
     s = passages.Settings()
     assert passages.chain([1, 2, 3, 9], [5, 6, 1, 13], s)[0] == [0, 1, 3]
