@@ -106,6 +106,32 @@ def test_passages_with_inner_repetition(spark):
     assert covered[2] >= set(range(30, 100)) and covered[5] == set(range(200)) and {r.doc_id for r in found} == {2, 5}
 
 
+@pytest.mark.parametrize("apart", [1, 30, 59, 70, 100, 300, 600])
+def test_two_passages_of_one_source(spark, apart):
+    one, two = prose(500), changed(prose(200), 0.04)
+    rows = [(1, one + " " + prose(apart) + " " + two + " " + prose(40)), (2, prose(40) + " " + one + " " + prose(apart) + " " + changed(two, 0.04))]
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    covered = {i for r in found for i in range(r.start, r.start + r.n_words)}
+    assert len(covered & set(range(40, 540))) == 500 and len(covered & set(range(540 + apart, 740 + apart))) >= 180
+    assert all(r.identity >= 0.8 for r in found) and len(covered - set(range(40, 540)) - set(range(540 + apart, 740 + apart))) <= min(apart, 62)
+
+
+def test_chains_look_within_the_gap():
+    s = passages.Settings()
+    pos = [*range(0, 500, 5), *range(600, 800, 5)]
+    assert [len(c) for c in passages.chain(pos, pos, s)] == [100, 40]
+    assert passages.chain([0, 40, 80], [0, 45, 80], s) == [[0, 1, 2]]
+
+
+def test_only_stretches_alike_are_reported():
+    s = passages.Settings()
+    shared, x, y = ([w.encode() for w in prose(n).split(" ")] for n in (70, 59, 59))
+    other = [b"o1", b"o2", b"o3", b"o4", b"o5"]
+    a, b = other + x + shared, other + [w + b"-" for w in y] + shared
+    at = [0, *range(64, 64 + 66, 5)]
+    assert passages.align(a, b, at, at, s) == [(64, 134, 64, 134, 70)]
+
+
 def test_chain_is_best():
     s = passages.Settings()
     assert passages.chain([1, 2, 3, 9], [5, 6, 1, 13], s)[0] == [0, 1, 3]
