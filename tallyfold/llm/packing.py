@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import array
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,51 +24,120 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyfold.llm import bytecut
 from tallyfold.plans.recovery import written
 
 PIECES = "doc long, row long, start long, length long, ids_crc32 long, doc_tokens long"
-#: Stretches whose ids a task remembers; more are forgotten together, before the next text.
-CACHE = 100_000
-#: A word of Latin letters, which normalization only lower-cases, and punctuation after it that begins no contraction.
-SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:%&$#*|]*)")
+#: What a task remembers of pre-tokens and their ids, in bytes with the objects' own, in each of two generations; and the longest pre-token remembered.
+REMEMBERED, LONGEST = 24 << 20, 40
+OBJECTS = 180
+#: Bytes of text cut at once; the arrays made for them take some thirty times as much.
+SLICE = 3 << 20
+#: Kinds of bytes. Runs of letters (A-Z, a-z and the two bytes of Latin-1 letters), single digits and runs of other marks are pre-tokens by themselves;
+#: what lies between white space and holds anything else (an apostrophe may begin a contraction, < a special token) is encoded as a whole.
+SPACE, LETTER, DIGIT, MARK, OTHER = range(5)
+KINDS = np.full(256, OTHER, np.uint8)
+KINDS[np.flatnonzero(bytecut.BLANK)] = SPACE
+KINDS[0x21:0x7F] = MARK
+KINDS[[0x27, 0x3C]] = OTHER
+KINDS[0x30:0x3A] = DIGIT
+KINDS[0x41:0x5B] = KINDS[0x61:0x7B] = LETTER
+
+
+def byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies: itself if it is visible, else the next one from U+0100 on."""
+    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 class Encoder:
-    """Token ids of whole texts. White space separates pre-tokens in this kind of vocabulary and is dropped,
-    so a text is encoded by its stretches between spaces and line ends, each encoded once."""
+    """Token ids of whole texts. White space separates pre-tokens in this kind of vocabulary and is dropped, so a text's ids are those
+    of its pre-tokens in turn. Texts are cut as bytes, many at once, and only the distinct pre-tokens of a slice are looked up."""
 
     def __init__(self, path: str, end: int) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism here
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end = Tokenizer.from_file(path), array.array("I", [end]).tobytes()
-        self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def _ids(self, text: str) -> bytes:
-        return array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def _part(self, part: str) -> bytes:
-        """A run of small letters, or of punctuation, is one pre-token; ASCII letters stand for their own bytes."""
-        if part not in self.parts:
-            plain = part.isascii() and part.isalpha()
-            self.parts[part] = array.array("I", [t.id for t in self.tokenizer.model.tokenize(part)]).tobytes() if plain else self._ids(part)
-        return self.parts[part]
-
-    def _stretch(self, stretch: str) -> bytes:
-        found = SIMPLE.fullmatch(stretch)
-        if not found:
-            return self._ids(stretch)
-        return self._part(found[1].lower()) + (self._part(found[2]) if found[2] else b"")
+        self.tokenizer, self.end, self.letters = Tokenizer.from_file(path), np.array([end], np.uint32), byte_letters()
+        self.tokenize = self.tokenizer.model.tokenize
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.held = 0
+
+    def _remember(self, piece: bytes, ids: bytes) -> None:
+        if len(piece) <= LONGEST:
+            self.known[piece] = ids
+            self.held += len(piece) + len(ids) + OBJECTS
+            if self.held > REMEMBERED:
+                self.known, self.older, self.held = {}, self.known, 0
+
+    def _looked_up(self, pieces: list[bytes], plain: np.ndarray) -> list[bytes]:
+        """The ids of distinct pre-tokens; plain tells runs of small letters."""
+        out = list(map(self.known.get, pieces))
+        for i in [i for i, ids in enumerate(out) if ids is None]:
+            piece = pieces[i]
+            ids = self.older.get(piece)
+            if ids is None and plain[i]:
+                ids = array.array("I", [t.id for t in self.tokenize(piece.decode("latin-1").translate(self.letters))]).tobytes()
+            elif ids is None:
+                ids = array.array("I", self.tokenizer.encode(piece.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
+            self._remember(piece, ids)
+            out[i] = ids
+        return out
+
+    def _slice(self, column: pa.Array) -> Iterator[np.ndarray]:
+        data, begin = bytecut.flat(column)
+        kind = KINDS[data]
+        lead = np.flatnonzero(data[:-1] == 0xC3)
+        follow = data[lead + 1]
+        lead = lead[(follow >= 0x80) & (follow <= 0xBF) & (follow != 0x97) & (follow != 0xB7)]
+        kind[lead] = kind[lead + 1] = LETTER
+        inside = kind != SPACE
+        new = bytecut.begins(inside, begin)
+        # What is encoded as a whole: stretches between spaces that hold a byte of another kind.
+        whole, strange = None, np.flatnonzero(kind == OTHER)
+        if len(strange):
+            first, end = np.flatnonzero(new), np.flatnonzero(bytecut.begins(inside[::-1], len(data) - begin[::-1])[::-1]) + 1
+            odd = np.unique(np.searchsorted(first, strange, "right") - 1)
+            step = np.zeros(len(data) + 1, np.int8)
+            step[first[odd]] += 1
+            step[end[odd]] -= 1
+            whole = np.cumsum(step[:-1], dtype=np.int8).view(bool)
+        starts = kind == DIGIT
+        starts[1:] |= kind[1:] != kind[:-1]
+        starts &= inside
+        low = bytecut.LOWER[data]
+        low[(kind == LETTER) & (data >= 0x80) & (data <= 0x9E)] += 32
+        if whole is not None:
+            starts &= ~whole
+            low = np.where(whole, data, low)
+        starts |= new
+        at = np.flatnonzero(starts)
+        if not len(at):
+            yield from (self.end for _ in range(len(column)))
+            return
+        offsets = np.append(np.flatnonzero(starts[inside]), np.count_nonzero(inside))
+        tokens = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(low[inside])]).dictionary_encode()
+        index = tokens.indices.to_numpy()
+        plain = np.zeros(len(tokens.dictionary), bool)
+        plain[index] = kind[at] == LETTER if whole is None else (kind[at] == LETTER) & ~whole[at]
+        found = self._looked_up(tokens.dictionary.to_pylist(), plain)
+        ids = np.frombuffer(b"".join(found), np.uint32)
+        size = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        sizes = size[index]
+        ends = np.cumsum(sizes)
+        ids = ids[np.repeat((np.cumsum(size) - size)[index] - (ends - sizes), sizes) + np.arange(ends[-1])]
+        cut = np.append(0, ends)[np.searchsorted(at, begin)].tolist()
+        yield from (np.append(ids[a:b], self.end) for a, b in zip(cut[:-1], cut[1:], strict=True))
+
+    def all(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text of a column, in turn, with the end token."""
+        for at, end in bytecut.parts(column, SLICE):
+            yield from self._slice(column.slice(at, end - at))
 
     def __call__(self, text: str) -> np.ndarray:
-        stretches, known = text.replace("\n", " ").split(" "), self.known
-        if len(known) > CACHE:
-            known.clear()
-            self.parts.clear()
-        for stretch in set(stretches).difference(known):
-            known[stretch] = self._stretch(stretch)
-        return np.frombuffer(b"".join(map(known.__getitem__, stretches)) + self.end, np.uint32)
+        return next(self.all(pa.array([text], pa.string())))
 
 
 def pieces(docs: DataFrame, doc: str, text: str, tokenizer: str, capacity: int, end: int, with_ids: bool = False) -> DataFrame:
@@ -79,8 +147,7 @@ def pieces(docs: DataFrame, doc: str, text: str, tokenizer: str, capacity: int,
         encode = Encoder(tokenizer, end)
         for batch in batches:
             out: list[list] = [[] for _ in range(6 + with_ids)]
-            for d, r, t in zip(batch.column("doc").to_pylist(), batch.column("row").to_pylist(), batch.column("text"), strict=True):
-                ids = encode(t.as_py() or "")
+            for d, r, ids in zip(batch.column("doc").to_pylist(), batch.column("row").to_pylist(), encode.all(batch.column("text")), strict=True):
                 for at in range(0, len(ids), capacity):
                     own = ids[at : at + capacity]
                     for column, value in zip(out, (d, r, at, len(own), zlib.crc32(own.astype("<u4").tobytes()), len(ids), own), strict=False):
@@ -145,7 +212,7 @@ def ranges(patterns: list[tuple[int, dict[int, int]]], first_sequence: int) -> l
 
 
 def pack(
-    docs: DataFrame, tokenizer: str, doc: str = "doc_id", text: str = "text", capacity: int = 2048, end: int = 1, with_ids: bool = False, group_rows: int = 50_000
+    docs: DataFrame, tokenizer: str, doc: str = "doc_id", text: str = "text", capacity: int = 2048, end: int = 1, with_ids: bool = False, group_rows: int = 1_000
 ) -> DataFrame:
     """One row for each piece: the id column, start, length, ids_crc32, doc_tokens, sequence_id and offset; ids too, if asked for."""
     cut = written(pieces(docs, doc, text, tokenizer, capacity, end, with_ids), "pieces")
