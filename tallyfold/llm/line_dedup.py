@@ -6,16 +6,19 @@ word replaced, inserted or deleted). Blank lines stay.
 
 Equal lines are matched by two 64-bit hashes. Of the distinct lines, only those that share their first or
 last half with another can be within one edit (an edit leaves one half whole), so only they go on: each emits, as
-hashed keys, itself and all variants with one word deleted. A deleted word's place is part of the key for
+hashed keys, itself and its variants with one word deleted, where the half that it shares leaves room for an edit. A deleted word's place is part of the key for
 replacements, which are joined with deletions at the same place; for insertions a whole line is
 joined with longer lines less one word. All lines that share a replacement key are within one edit of each other, and
 an insertion key has one whole line, so each line needs only the earliest of a key, never all its
 pairs. Partners are verified on their words. Hashes of variants come from running XORs, so a line's keys cost time in proportion to its words.
 
+Most lines and documents have no part in all this. They are told apart by bitmaps of bounded size before anything is shuffled
+(see sieve), so only lines that are repeated or near, and the texts of documents that lose a line, go through a join.
+
 Defined results: null texts stay null, empty ones empty, with no lines; rows of equal id and text share one
 decision and each keep it; null ids come last in the order of documents; lines at one number of documents with one id, or
 with null ids, but different texts are told apart and ordered by the text's hash; other columns are kept as they are
-and not read, so clashing names don't matter. An empty table gives an empty result.
+and not read, so clashing names don't matter; one called ``line_dedup`` is replaced by the result. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,12 +26,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyfold.llm import sieve
 from tallyfold.plans.recovery import written
 
 LAST = (1 << 63) - 1
 SEED = 0x51ED
-#: Up to so many places of 40 bytes each are broadcast; beyond it, they are joined by shuffling.
-BROADCAST_PLACES = 500_000
+#: Kinds of keys.
+WHOLE, REPLACED, SHORTER = range(3)
 
 
 def running_xor(values: Column) -> Column:
@@ -66,19 +70,21 @@ def _halves(n: Column) -> Column:
 
 
 def _variants(lines: DataFrame) -> DataFrame:
-    """(id, key, kind): all keys of each line; kind tells the undeleted line from variants."""
-    rows = lines.select("id", F.split("line", " ").alias("w")).withColumn("n", F.size("w"))
-    rows = rows.select("id", "n", F.transform("w", lambda x, i: F.xxhash64(i, x)).alias("at"), F.transform("w", lambda x, i: F.xxhash64(i - 1, x)).alias("moved"))
-    rows = rows.select("id", "n", "at", running_xor(F.col("at")).alias("p"), running_xor(F.col("moved")).alias("q"))
-    rows = rows.select("id", "n", "at", "p", "q", F.get("p", F.col("n") - 1).alias("all"), F.get("q", F.col("n") - 1).alias("end"), F.explode(F.sequence(F.lit(-1), F.col("n") - 1)).alias("j"))
-    j, zero = F.col("j"), F.lit(0).cast("long")
-    replaced = F.xxhash64(F.lit("r"), F.col("n"), j, F.col("all").bitwiseXOR(F.get("at", j)))
-    less = F.coalesce(F.get("p", j - 1), zero).bitwiseXOR(F.col("end")).bitwiseXOR(F.get("q", j))
-    shorter = F.xxhash64(F.lit("i"), F.col("n") - 1, less)
-    whole = F.xxhash64(F.lit("i"), F.col("n"), F.col("all"))
-    keys = F.when(j < 0, F.array(whole)).otherwise(F.array(replaced, shorter))
-    rows = rows.select("id", j.alias("j"), F.posexplode(keys).alias("kind", "key"))
-    return rows.select("id", "key", F.when(F.col("j") < 0, F.lit("whole")).when(F.col("kind") == 0, F.lit("replaced")).otherwise(F.lit("shorter")).alias("kind"))
+    """(id, key, kind): the keys of each line (id, line, open). ``open`` has a bit for each of its half keys that another line has."""
+    rows = lines.select("id", "open", F.split("line", " ").alias("w")).withColumn("n", F.size("w"))
+    rows = rows.select("id", "open", "n", F.transform("w", lambda x, i: F.xxhash64(i, x)).alias("at"), F.transform("w", lambda x, i: F.xxhash64(i - 1, x)).alias("moved"))
+    rows = rows.select("id", "open", "n", "at", running_xor(F.col("at")).alias("p"), running_xor(F.col("moved")).alias("q"))
+    n, zero = F.col("n"), F.lit(0).cast("long")
+    whole, end, shared = F.get("p", n - 1), F.get("q", n - 1), lambda k: F.getbit("open", F.lit(k)) == 1
+    half, less = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
+    # Where a word may have been replaced, or put in: behind a first half that is shared, or before a last one.
+    places = lambda a, b, m: F.filter(F.sequence(F.lit(0), n - 1), lambda j: (shared(a) & (j >= m)) | (shared(b) & (j < n - m)))
+    key = lambda kind, value: F.struct(value.alias("key"), F.lit(kind).cast("byte").alias("kind"))
+    replaced = F.transform(places(0, 1, half), lambda j: key(REPLACED, F.xxhash64(F.lit("r"), n, j, whole.bitwiseXOR(F.get("at", j)))))
+    gap = lambda j: F.coalesce(F.get("p", j - 1), zero).bitwiseXOR(end).bitwiseXOR(F.get("q", j))
+    shorter = F.transform(places(2, 3, less), lambda j: key(SHORTER, F.xxhash64(F.lit("i"), n - 1, gap(j))))
+    own = F.when(shared(0) | shared(1), F.array(key(WHOLE, F.xxhash64(F.lit("i"), n, whole)))).otherwise(F.array().cast("array<struct<key:bigint,kind:tinyint>>"))
+    return rows.select("id", F.explode(F.concat(own, replaced, shorter)).alias("k")).select("id", "k.key", "k.kind")
 
 
 def _one_edit(a: Column, b: Column) -> Column:
@@ -90,56 +96,68 @@ def _one_edit(a: Column, b: Column) -> Column:
 def near_lines(lines: DataFrame, docs: DataFrame, doc: str, text: str, min_words: int) -> DataFrame:
     """(h1, h2) of the distinct lines that are one edit from an earlier one. lines: (h1, h2, place, th, n, halves), one row a distinct line."""
     long = lines.where(F.col("n") >= min_words)
-    halves = long.select("h1", "h2", "place", "th", F.explode("halves").alias("half"))
+    halves = long.select("h1", "h2", "place", "th", F.posexplode("halves").alias("slot", "half"))
     crowded = halves.groupBy("half").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("half")
-    near = written(halves.join(crowded, "half", "left_semi").select("h1", "h2", "place", "th").distinct(), "near-places")
+    crowded = written(crowded, "halves")
+    some = sieve.may(halves, [F.col("half")], crowded, [F.col("half")])
+    open_ = F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("slot"))).alias("open")
+    near = some.join(crowded, "half", "left_semi").groupBy("h1", "h2", "place", "th").agg(open_)
+    near = written(near, "near-places")
     # Numbered in the order of places, so that one number tells lines apart and orders them.
     order = ("place", "th", "h1", "h2")
     near = written(near.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("id", F.monotonically_increasing_id()), "near-ids")
-    # Their words, each from its first place, so no line is hot. Few places are broadcast, which leaves the texts where they are.
-    at = near.select("place", "th", "id")
-    few = at.count() <= BROADCAST_PLACES
-    seen = _lines(docs, doc, text).select(_place(), "th", "line")
-    words = written(seen.join(F.broadcast(at) if few else at, ["place", "th"]).select("id", "line").dropDuplicates(["id"]), "near-lines")
-
-    keys = _variants(words)
-    earliest = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("id"))).alias(kind)
-    least = keys.groupBy("key").agg(earliest("replaced"), earliest("whole"), earliest("shorter"), F.count("*").alias("c")).where("c > 1").withColumnRenamed("key", "key2")
-    partner = F.when(F.col("kind") == "replaced", F.col("replaced")).when(F.col("kind") == "whole", F.col("shorter")).otherwise(F.col("whole"))
-    pairs = keys.join(least, F.col("key") == F.col("key2")).select("id", partner.alias("other")).where("other < id").distinct()
+    # Their words, each from its first place, so no line is hot.
+    at = near.select("place", "th", "id", "open")
+    spot = [F.col("place"), F.col("th")]
+    seen = sieve.may(_lines(docs, doc, text).select(_place(), "th", "line"), spot, at, spot)
+    words = written(seen.join(at, ["place", "th"]).select("id", "open", "line").dropDuplicates(["id"]), "near-lines")
+
+    keys = written(_variants(words), "variants")
+    earliest = lambda kind, name: F.min(F.when(F.col("kind") == kind, F.col("id"))).alias(name)
+    least = keys.groupBy("key").agg(earliest(WHOLE, "whole"), earliest(REPLACED, "replaced"), earliest(SHORTER, "shorter"), F.count("*").alias("c")).where("c > 1").withColumnRenamed("key", "key2")
+    least = written(least, "least")
+    partner = F.when(F.col("kind") == REPLACED, F.col("replaced")).when(F.col("kind") == WHOLE, F.col("shorter")).otherwise(F.col("whole"))
+    some = sieve.may(keys, [F.col("key")], least, [F.col("key2")])
+    pairs = some.join(least, F.col("key") == F.col("key2")).select("id", partner.alias("other")).where("other < id").distinct()
     word = F.split("line", " ")
     pairs = pairs.join(words.select("id", word.alias("w")), "id").join(words.select(F.col("id").alias("other"), word.alias("v")), "other")
     right = F.when(F.size("w") <= F.size("v"), _one_edit(F.col("w"), F.col("v"))).otherwise(_one_edit(F.col("v"), F.col("w")))
     return near.join(pairs.where(right).select("id").distinct(), "id", "left_semi").select("h1", "h2")
 
 
-def decisions(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_words: int = 5) -> DataFrame:
-    """(doc, th, lines): for each document with lines, which of its non-blank lines stay, as an array of (no, keep) in order."""
+def dropped_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_words: int = 5) -> DataFrame:
+    """(doc, th, gone): for each document that loses lines, their numbers in order; th is its text's hash."""
     n = F.length(F.regexp_replace("line", "[^ ]+", "")) + 1
     rows = _lines(docs, doc, text).withColumn("n", n).select(_place(), "th", *_hash(), "n", _halves(F.col("n")).alias("halves"))
-    first = rows.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.min_by("th", "place").alias("th"), F.min("n").alias("n"), *[F.min(F.col("halves")[k]).alias(f"half{k}") for k in range(4)])
-    lines = written(first.select("h1", "h2", "place", "th", "n", F.array(*[f"half{k}" for k in range(4)]).alias("halves")), "lines")
+    first = rows.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.min_by("th", "place").alias("th"), F.min("n").alias("n"), F.count("*").alias("c"), *[F.min(F.col("halves")[k]).alias(f"half{k}") for k in range(4)])
+    lines = written(first.select("h1", "h2", "place", "th", "n", "c", F.array(*[f"half{k}" for k in range(4)]).alias("halves")), "lines")
     gone = near_lines(lines, docs, doc, text, min_words).withColumn("near", F.lit(True))
-    known = lines.select("h1", "h2", "place", "th").join(gone, ["h1", "h2"], "left").select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("place").alias("first"), F.col("th").alias("first_th"), F.coalesce("near", F.lit(False)).alias("near"))
+    # Of lines that occur once, only near ones go.
+    known = lines.select("h1", "h2", "place", "th", "c").join(gone, ["h1", "h2"], "left").where("c > 1 OR near")
+    known = written(known.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("place").alias("first"), F.col("th").alias("first_th"), F.coalesce("near", F.lit(False)).alias("near")), "known-lines")
     places = _lines(docs, doc, text).select("doc", "th", "no", _place(), *_hash())
-    keep = ~F.col("near") & (F.col("place") == F.col("first")) & (F.col("th") == F.col("first_th"))
-    decided = places.join(known, (F.col("h1") == F.col("a1")) & (F.col("h2") == F.col("a2"))).select("doc", "th", F.struct("no", keep.alias("keep")).alias("line"))
-    return decided.groupBy("doc", "th").agg(F.array_sort(F.collect_set("line")).alias("lines"))
+    some = sieve.may(places, [F.col("h1"), F.col("h2")], known, [F.col("a1"), F.col("a2")])
+    goes = F.col("near") | (F.col("place") != F.col("first")) | (F.col("th") != F.col("first_th"))
+    decided = some.join(known, (F.col("h1") == F.col("a1")) & (F.col("h2") == F.col("a2"))).where(goes)
+    return decided.groupBy("doc", "th").agg(F.array_sort(F.collect_set("no")).alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_words: int = 5) -> DataFrame:
     """``docs``, all columns, with ``text`` less its repeated lines, and a struct column ``line_dedup``: n_lines and n_dropped, of lines that aren't blank."""
-    found = decisions(docs, doc, text, min_words).select(F.col("doc").alias("_ld_doc"), F.col("th").alias("_ld_th"), F.col("lines").alias("_ld_lines"))
-    same = (F.coalesce(F.col(doc).cast("long"), F.lit(LAST)) == F.col("_ld_doc")) & (F.xxhash64(F.col(text)) == F.col("_ld_th"))
-    rows = docs.join(found, same, "left")
+    found = written(dropped_lines(docs, doc, text, min_words).select(F.col("doc").alias("_ld_doc"), F.col("th").alias("_ld_th"), F.col("gone").alias("_ld_gone")), "dropped-lines")
+    own, th = F.coalesce(F.col(doc).cast("long"), F.lit(LAST)), F.xxhash64(F.col(text))
+    may, never = sieve.split(docs, [own, th], found, [F.col("_ld_doc"), F.col("_ld_th")])
+    lines = F.size(F.filter(F.split(F.col(text), "\n"), lambda x: F.btrim(x, F.lit(" \t\r")) != ""))
+    counts = lambda gone: F.struct(F.coalesce(lines, F.lit(0)).cast("long").alias("n_lines"), gone.cast("long").alias("n_dropped")).alias("line_dedup")
+    rows = may.join(found, (own == F.col("_ld_doc")) & (th == F.col("_ld_th")), "left")
     # One byte for each line up to the last dropped one, 1 for dropped: any line is looked up in constant time.
-    rows = rows.withColumn("_ld_gone", F.transform(F.filter("_ld_lines", lambda x: ~x["keep"]), lambda x: x["no"]))
     runs = F.transform("_ld_gone", lambda no, i: F.concat(F.repeat(F.lit("0"), no - F.coalesce(F.get("_ld_gone", i - 1), F.lit(-1)) - 1), F.lit("1")))
     rows = rows.withColumn("_ld_flags", F.array_join(runs, "").cast("binary"))
     kept = F.filter(F.split(F.col(text), "\n"), lambda x, i: F.substring("_ld_flags", i + 1, F.lit(1)) != F.lit(b"1"))
-    counts = F.struct(F.coalesce(F.size("_ld_lines"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_ld_gone"), F.lit(0)).cast("long").alias("n_dropped"))
-    new = F.when((F.col("_ld_gone").isNull()) | (F.size("_ld_gone") == 0), F.col(text)).otherwise(F.array_join(kept, "\n"))
-    return rows.withColumn("line_dedup", counts).withColumn(text, new).drop("_ld_doc", "_ld_th", "_ld_lines", "_ld_gone", "_ld_flags")
+    new = F.when(F.col("_ld_gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")).alias(text)
+    columns = lambda t: [t if c == text else F.col(f"`{c}`") for c in docs.columns if c != "line_dedup"]
+    changed = rows.select(*columns(new), counts(F.coalesce(F.size("_ld_gone"), F.lit(0))))
+    return changed.unionAll(never.select(*columns(F.col(text)), counts(F.lit(0))))
 
 
 def oracle(min_words: int = 5) -> str:
