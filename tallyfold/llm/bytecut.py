@@ -7,6 +7,7 @@ stay small however many texts a batch holds; a text is never cut, so one that is
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -65,26 +66,79 @@ def begins(inside: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return new
 
 
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words, A-Z lower-cased, and where each text's begin, with the end: a sum of one number for each byte and its place, scrambled."""
+@dataclass(frozen=True)
+class Words:
+    """The words of some texts, A-Z lower-cased: ``hashes``, where each text's ``begin`` among them, with the end, and the bytes of its text at which each
+    word starts (``at``) and ends (``end``)."""
+
+    hashes: np.ndarray
+    begin: np.ndarray
+    at: np.ndarray
+    end: np.ndarray
+
+    @property
+    def text(self) -> np.ndarray:
+        """The number of each word's text."""
+        return np.repeat(np.arange(len(self.begin) - 1), np.diff(self.begin))
+
+    @property
+    def left(self) -> np.ndarray:
+        """How many words each text has from each word on."""
+        return np.repeat(self.begin[1:], np.diff(self.begin)) - np.arange(len(self.hashes))
+
+
+def words(column: pa.Array) -> Words:
+    """A word's hash is the sum of one number for each byte and its place, scrambled to 64 bits."""
     data, begin = flat(column)
     inside = ~BLANK[data]
     new = begins(inside, begin)
     at = np.flatnonzero(new)
     if not len(at):
-        return np.empty(0, np.uint64), np.zeros(len(begin), np.int64)
+        return Words(np.empty(0, np.uint64), np.zeros(len(begin), np.int64), at, at)
     starts, low = np.flatnonzero(new[inside]), LOWER[data[inside]]
-    place = np.arange(len(low), dtype=np.int32) - np.repeat(starts.astype(np.int32), np.diff(np.append(starts, len(low))))
+    sizes = np.diff(np.append(starts, len(low)))
+    place = np.arange(len(low), dtype=np.int32) - np.repeat(starts.astype(np.int32), sizes)
     key = (place << 8) | low
     numbers = NUMBERS[np.minimum(key, len(NUMBERS) - 1)]
     far = np.flatnonzero(place >= FRONT)
     if len(far):
         numbers[far] = scrambled((place[far].astype(np.uint64) << np.uint64(8)) + low[far])
-    return scrambled(np.add.reduceat(numbers, starts)), np.searchsorted(at, begin)
+    first = np.searchsorted(at, begin)
+    at = at - np.repeat(begin[:-1], np.diff(first))
+    return Words(scrambled(np.add.reduceat(numbers, starts)), first, at, at + sizes)
+
+
+def sliced(column: pa.Array) -> Iterator[tuple[int, int, Words]]:
+    """(first row, end, words) of slices of bounded size."""
+    for at, end in parts(column):
+        yield at, end, words(column.slice(at, end - at))
 
 
 def hashed(column: pa.Array) -> Iterator[np.ndarray]:
     """The word hashes of each text of a column, in turn."""
-    for at, end in parts(column):
-        hashes, begin = word_hashes(column.slice(at, end - at))
-        yield from (hashes[a:b] for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True))
+    for _, _, w in sliced(column):
+        yield from (w.hashes[a:b] for a, b in zip(w.begin[:-1].tolist(), w.begin[1:].tolist(), strict=True))
+
+
+def runs(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of ``k`` words; of the whole sequence if it is shorter, none if it is empty. Runs of any length come from doubling ones."""
+    k = min(k, len(hashes))
+    if not k:
+        return hashes
+    out, size, double, span = None, 0, hashes, 1
+    while True:
+        if k & span:
+            out = double if out is None else scrambled(out[: len(hashes) - size - span + 1] * MIX + double[size:])
+            size += span
+        if size == k:
+            return out
+        double, span = scrambled(double[: len(hashes) - 2 * span + 1] * MIX + double[span:]), 2 * span
+
+
+def extreme(pick: np.ufunc, values: np.ndarray, width: int) -> np.ndarray:
+    """The least or largest of each ``width`` neighbours; pick is np.minimum or np.maximum."""
+    span = 1
+    while span < width:
+        step = min(span, width - span)
+        values, span = pick(values[:-step], values[step:]), span + step
+    return values
