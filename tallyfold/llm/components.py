@@ -15,7 +15,8 @@ from tallyfold.plans.recovery import written
 def _least_neighbours(pairs: DataFrame) -> DataFrame:
     """Pairs (u, v) with m: the least of u and all its v."""
     least = pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("u2"), F.least("u2", "m").alias("m"))
-    return pairs.join(least, F.col("u") == F.col("u2")).select("u", "v", "m")
+    # Written, so that nothing but exchanges stands below the join and Spark can split a hub with many neighbours.
+    return pairs.join(written(least, "least"), F.col("u") == F.col("u2")).select("u", "v", "m")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

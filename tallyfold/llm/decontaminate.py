@@ -23,6 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyfold.llm import sieve
 from tallyfold.plans.recovery import written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -124,11 +125,12 @@ def digest(found: DataFrame, doc: str = "doc_id") -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """``docs``, all columns, without the documents that hold a benchmark window. The join is by id and
-    text hash, against the contaminated documents alone; which side is broadcast, if any, is Spark's choice by size."""
+    text hash, of those documents alone that a bitmap of bounded size tells to be possibly contaminated."""
     bad = contamination(docs, benchmark, doc, text, **settings).where(F.size("spans") > 0).select(F.col(doc).alias("_bad_doc"), F.col("th").alias("_bad_th"))
-    bad = written(bad, "contaminated")  # as a table its size is known, so Spark broadcasts it if, and only if, it is small
-    same = F.col("_bad_th").eqNullSafe(F.xxhash64(F.col(text))) & F.col("_bad_doc").eqNullSafe(F.col(doc))
-    return docs.join(bad, same, "left_anti")
+    bad = written(bad, "contaminated")
+    th = F.xxhash64(F.col(text))
+    may, never = sieve.split(docs, [F.col(doc), th], bad, [F.col("_bad_doc"), F.col("_bad_th")])
+    return never.unionAll(may.join(bad, F.col("_bad_th").eqNullSafe(th) & F.col("_bad_doc").eqNullSafe(F.col(doc)), "left_anti"))
 
 
 def oracle(window: int = 10) -> str:

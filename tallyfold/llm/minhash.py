@@ -29,8 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyfold.llm import bytecut, sieve
 from tallyfold.llm.components import components
-from tallyfold.llm.wordhash import WordHashes, runs
 from tallyfold.plans.recovery import written
 
 RING_BITS = 20
@@ -66,10 +66,10 @@ class Signer:
         self.ranks = np.lib.stride_tricks.sliding_window_view(np.concatenate([ranks, ranks[:length]]), length)
         self.s, self.length, self.times = s, length, draw.integers(1, 1 << 63, (s.bands, s.rows), np.uint64) * np.uint64(2) + np.uint64(1)
         self.spread = np.uint64(int(draw.integers(1, 1 << 63)) * 2 + 1)
-        self.hashes = WordHashes()
 
-    def shingles(self, text: str | None) -> np.ndarray:
-        return np.unique(runs(self.hashes.of(text or ""), self.s.shingle))
+    def shingles(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The set of each text, as sorted hashes."""
+        return (np.unique(bytecut.runs(words, self.s.shingle)) for words in bytecut.hashed(texts))
 
     def signature(self, shingles: np.ndarray) -> np.ndarray:
         places = (shingles * self.spread) >> np.uint64(64 - RING_BITS)
@@ -98,8 +98,7 @@ def sign(docs: DataFrame, doc: str, text: str, s: Settings) -> DataFrame:
         signer = Signer(s, s.banded)
         for batch in batches:
             n, cls, bands = [], [], []
-            for t in batch.column("text"):
-                found = signer.shingles(t.as_py())
+            for found in signer.shingles(batch.column("text")):
                 n.append(len(found))
                 sig = signer.signature(found) if len(found) else None
                 cls.append(None if sig is None else xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63))
@@ -120,8 +119,7 @@ def sketches(texts: DataFrame, s: Settings) -> DataFrame:
         signer = Signer(s, s.bits)
         for batch in batches:
             n, bits = [], []
-            for t in batch.column("text"):
-                found = signer.shingles(t.as_py())
+            for found in signer.shingles(batch.column("text")):
                 n.append(len(found))
                 bits.append(signer.bits(signer.signature(found)))
             yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(n, pa.int64()), _lists(bits)], ["cls", "n", "bits"])
@@ -133,19 +131,14 @@ def verified(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     """Those of ``pairs`` (a, b: classes) whose full sets are similar enough; texts: (cls, text)."""
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signer, kept = Signer(s, s.banded), {}
-
-        def of(cls: int, text: pa.Scalar) -> np.ndarray:
-            if cls not in kept:
-                if len(kept) >= 64:
-                    kept.clear()
-                kept[cls] = signer.shingles(text.as_py())
-            return kept[cls]
-
+        signer, before = Signer(s, s.banded), (None, np.empty(0, np.uint64))
         for batch in batches:
-            out = []
-            for a, b, ta, tb in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("ta"), batch.column("tb"), strict=True):
-                x, y = of(a, ta), signer.shingles(tb.as_py())
+            out, ta = [], batch.column("ta")
+            pairs = zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), signer.shingles(batch.column("tb")), strict=True)
+            for i, (a, b, y) in enumerate(pairs):
+                if before[0] != a:  # the pairs of a centre come one after the other
+                    before = a, next(signer.shingles(ta.slice(i, 1)))
+                x = before[1]
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 if 100 * both >= s.percent * (len(x) + len(y) - both):
                     out.append((a, b))
@@ -166,15 +159,18 @@ def links(signed: DataFrame, docs: DataFrame, doc: str, text: str, s: Settings)
     shared = written(whole.join(crowded, F.col("key") == F.col("key2")).select("key", "cls", "c").dropDuplicates(["key", "cls"]), "bands")
 
     wanted = shared.select("cls").distinct().join(classes, "cls").select("cls", F.col("doc").alias("d"), F.col("th").alias("h"))
+    wanted = written(wanted, "wanted")
     rows = docs.select(F.col(doc).cast("long").alias("doc"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
-    texts = rows.join(wanted, F.col("doc").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h"))).select("cls", "text")
-    texts = written(texts, "texts")
+    some = sieve.may(rows, [F.col("doc"), F.col("th")], wanted, [F.col("d"), F.col("h")])
+    texts = some.join(wanted, F.col("doc").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h"))).select("cls", "text")
+    # One row a class as it is written, so that nothing but exchanges stands below the joins with it and Spark can split a hot centre.
+    texts = written(texts.dropDuplicates(["cls"]), "texts")
 
     popular = shared.groupBy("cls").agg(F.sum("c").alias("popular"))
     ranked = shared.select("key", "cls").join(popular, "cls")
     centre = ranked.groupBy("key").agg(F.max(F.struct("popular", "cls")).alias("m")).select(F.col("key").alias("key2"), F.col("m.cls").alias("a"))
     star = shared.select("key", "cls").join(centre, F.col("key") == F.col("key2")).where("cls <> a").select("a", F.col("cls").alias("b")).distinct()
-    found = written(verified(star, texts.dropDuplicates(["cls"]), s), "links")
+    found = written(verified(written(star, "stars"), texts, s), "links")
 
     roots = components(found, "a", "b")
     named = shared.join(roots, F.col("cls") == F.col("node"), "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
@@ -182,7 +178,7 @@ def links(signed: DataFrame, docs: DataFrame, doc: str, text: str, s: Settings)
     open_keys = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     left = written(named.join(open_keys, "key", "left_semi"), "open")
     own = left.groupBy("cls").agg(F.collect_set("key").alias("keys"))  # at most one key a band
-    sketch = sketches(texts.join(own.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), s)
+    sketch = sketches(texts.join(own.select("cls"), "cls", "left_semi"), s)
     left = left.join(own, "cls").join(written(sketch, "sketches"), "cls")
     x, y = left.alias("x"), left.alias("y")
     apart = sum(F.bit_count(F.col("x.bits")[k].bitwiseXOR(F.col("y.bits")[k])) for k in range(-(-s.bits // 64)))
@@ -190,7 +186,7 @@ def links(signed: DataFrame, docs: DataFrame, doc: str, text: str, s: Settings)
     once = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")  # of the keys that two classes share, only the least
     cross = (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root")) & sized & (apart <= s.most_apart) & once
     more = x.join(y, cross).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
-    return classes, found.unionAll(written(verified(more, texts.dropDuplicates(["cls"]), s), "links"))
+    return classes, found.unionAll(written(verified(written(more, "pairs"), texts, s), "links"))
 
 
 def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", settings: Settings | None = None) -> DataFrame:
@@ -210,5 +206,6 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", se
 def drop_near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", settings: Settings | None = None) -> DataFrame:
     """``docs``, all columns, with one document of each component: that of the smallest id."""
     gone = near_duplicates(docs, doc, text, settings).where("NOT kept").select(F.col(doc).alias("_nd_doc"), F.col("th").alias("_nd_th"))
-    gone = written(gone, "duplicates")  # as a table its size is known, so Spark broadcasts it if, and only if, it is small
-    return docs.join(gone, F.col("_nd_doc").eqNullSafe(F.col(doc)) & F.col("_nd_th").eqNullSafe(F.xxhash64(F.col(text))), "left_anti")
+    gone = written(gone, "duplicates")
+    may, never = sieve.split(docs, [F.col(doc).cast("long"), F.xxhash64(F.col(text))], gone, [F.col("_nd_doc").cast("long"), F.col("_nd_th")])
+    return never.unionAll(may.join(gone, F.col("_nd_doc").eqNullSafe(F.col(doc)) & F.col("_nd_th").eqNullSafe(F.xxhash64(F.col(text))), "left_anti"))
