@@ -19,15 +19,38 @@ def key_hex(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", *encoded), 256)
 
 
-def swapped(h: Column, lane: int) -> Column:
-    """Eight hex digits of a lane with its four bytes in reverse order."""
-    return F.concat(*[F.substring(h, lane * 8 + at, 2) for at in (7, 5, 3, 1)])
+def quarters(h: Column) -> list[Column]:
+    """Columns q0 to q3: 64 bits each of a 64-digit hex key; other lengths are an error. They come first, in a select of their own, so that a key is hashed and parsed once."""
+    whole = F.when(F.length(h) == 64, h).otherwise(F.raise_error(F.lit("a key has 32 bytes")))
+    return [F.conv(F.substring(whole, 16 * i + 1, 16), 16, -10).cast("bigint").alias(f"q{i}") for i in range(4)]
+
+
+def swapped(x: Column) -> Column:
+    """A number of 32 bits with its four bytes in reverse order."""
+    part = lambda shifted, mask: shifted.bitwiseAND(F.lit(mask))
+    return part(F.shiftright(x, 24), 0xFF).bitwiseOR(part(F.shiftright(x, 8), 0xFF00)).bitwiseOR(part(F.shiftleft(x, 8), 0xFF0000)).bitwiseOR(part(F.shiftleft(x, 24), 0xFF000000))
+
+
+def lanes_of(quarter: list[Column]) -> list[Column]:
+    """Reduced lanes from the columns of :func:`quarters`."""
+    halves = [half for q in quarter for half in (F.shiftrightunsigned(q, 32), q.bitwiseAND(F.lit(0xFFFFFFFF)))]
+    return [(swapped(x) % m).alias(n) for x, m, n in zip(halves, MODULI, NAMES, strict=True)]
 
 
 def lanes(h: Column) -> list[Column]:
-    """Reduced lanes of a 64-digit hex key; other lengths are an error."""
-    whole = F.when(F.length(h) == 64, h).otherwise(F.raise_error(F.lit("a key has 32 bytes")))
-    return [(F.conv(swapped(whole, i), 16, 10).cast("bigint") % m).alias(NAMES[i]) for i, m in enumerate(MODULI)]
+    """Reduced lanes of a 64-digit hex key; other lengths are an error. For many rows, ``with_lanes`` parses a key once."""
+    return lanes_of(quarters(h))
+
+
+def read_hex(h: Column) -> list[Column]:
+    """Lanes of a serialized digest as they are, without reduction; other lengths are an error."""
+    halves = [half for q in quarters(h) for half in (F.shiftrightunsigned(q, 32), q.bitwiseAND(F.lit(0xFFFFFFFF)))]
+    return [swapped(x).alias(n) for x, n in zip(halves, NAMES, strict=True)]
+
+
+def read_binary(b: Column) -> list[Column]:
+    """Lanes of a serialized digest of 32 bytes as they are, without reduction."""
+    return read_hex(F.lower(F.hex(b)))
 
 
 def digest_hex(prefix: str = "") -> Column:
@@ -36,6 +59,11 @@ def digest_hex(prefix: str = "") -> Column:
     return F.concat(*[F.concat(*[F.substring(p, at, 2) for at in (7, 5, 3, 1)]) for p in plain])
 
 
+def digest_binary(prefix: str = "") -> Column:
+    """Wire form of the lanes: 32 bytes."""
+    return F.unhex(digest_hex(prefix))
+
+
 def added(a: str, b: str) -> list[Column]:
     return [((F.col(a + n) + F.col(b + n)) % m).alias(n) for n, m in zip(NAMES, MODULI, strict=True)]
 

@@ -10,7 +10,9 @@ from tallyfold.plans.recovery import written
 
 
 def with_lanes(keys: DataFrame, k: str = "k") -> DataFrame:
-    return keys.select("*", *L.lanes(F.col(k)))
+    """``keys`` with l0..l7 of each key. Columns called q0 to q3 would be replaced."""
+    parsed = keys.withColumns({f"q{i}": q for i, q in enumerate(L.quarters(F.col(k)))})
+    return parsed.select(*[F.col(f"`{c}`") for c in keys.columns], *L.lanes_of([F.col(f"q{i}") for i in range(4)]))
 
 
 def bag_digest(keys: DataFrame, by: list[str] = (), k: str = "k", sign: Column | None = None, how: str = "groupBy") -> DataFrame:
@@ -47,6 +49,13 @@ def running_digest(rows: DataFrame, order: str, sign: Column | None = None) -> D
     return joined.select(*rows.columns, *[F.pmod(F.col(n) + F.col(f"b_{n}"), F.lit(m)).alias(n) for n, m in zip(L.NAMES, L.MODULI, strict=True)])
 
 
+def running_key_digest(keys: DataFrame) -> DataFrame:
+    """``keys`` in key order with l0..l7: the digest of all keys up to each; equal keys are copies, each with its own row, told apart by ``copy``."""
+    copies = keys.groupBy("k").agg(F.count("*").alias("copies"))
+    rows = copies.select("k", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
+    return running_digest(rows.withColumn("place", F.concat("k", F.lpad(F.col("copy").cast("string"), 19, "0"))), "place").drop("place")
+
+
 def contains(keys: DataFrame, wanted: DataFrame) -> DataFrame:
     """``wanted`` with ``present``."""
     known = keys.select(F.col("k").alias("k2")).distinct().withColumn("present", F.lit(True))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyfold.functions import lanes as L
 from tallyfold.operators.bags import ranked, running_digest
 
+# Fixed value.
 #: How many operations a compacted log keeps; one position more is addressable.
 RETAINED = 1024
 
@@ -42,19 +46,51 @@ def bulk_delete(members: DataFrame, keys: DataFrame) -> DataFrame:
     return ranked(gone, ["k"])
 
 
-def positions(log: DataFrame) -> DataFrame:
-    """(position, l0..l7): the digest after each number of operations, position 0 being left out."""
-    return running_digest(log, "pos", sign()).withColumn("position", F.col("pos") + 1)
+def positions(log: DataFrame, base: DataFrame | None = None) -> DataFrame:
+    """(position, l0..l7): the digest after each number of operations, position 0 being left out. base: one row l0..l7, the digest before the first operation."""
+    at = running_digest(log, "pos", sign()).withColumn("position", F.col("pos") + 1)
+    if base is None:
+        return at
+    more = base.select(*[F.col(n).alias(f"b_{n}") for n in L.NAMES])
+    return at.crossJoin(F.broadcast(more)).withColumns(dict(zip(L.NAMES, L.added("", "b_"), strict=True))).drop(*[f"b_{n}" for n in L.NAMES])
 
 
-def digest_index(log: DataFrame, retained: int = RETAINED) -> DataFrame:
+def digest_index(log: DataFrame, retained: int = RETAINED, base: DataFrame | None = None) -> DataFrame:
     """(digest lanes, position): latest position of each digest among the last ``retained`` operations."""
-    from tallyfold.functions.lanes import NAMES
-
-    at = positions(log)
+    at = positions(log, base)
     last = at.agg(F.max("position").alias("last"))
     recent = at.join(F.broadcast(last)).where(F.col("position") >= F.col("last") - retained)  # one row
-    return recent.groupBy(*NAMES).agg(F.max("position").alias("position"))
+    return recent.groupBy(*L.NAMES).agg(F.max("position").alias("position"))
+
+
+@dataclass(frozen=True)
+class Node:
+    """One side of a synchronisation: a log (pos from 0 without gaps, is_add, k) of a set ``members`` (k) of unique keys, the digest before
+    its first operation (one row l0..l7; none is the empty one), and how often it was compacted."""
+
+    log: DataFrame
+    members: DataFrame
+    base: DataFrame | None = None
+    epoch: int = 0
+
+
+def node(log: DataFrame, epoch: int = 0) -> Node:
+    """A node from its log alone: deletes of absent keys are left out and positions counted anew."""
+    kept = ranked(effective_operations(log), ["pos"]).select(F.col("at").alias("pos"), "is_add", "k")
+    return Node(kept, last_operation_set(log), None, epoch)
+
+
+def compact(n: Node, retained: int = RETAINED) -> Node:
+    """The node with the last ``retained`` operations alone, positions counted from 0 anew, the digest before them carried as base, in the next epoch."""
+    from tallyfold.operators.bags import bag_digest
+
+    cut = n.log.agg(F.greatest(F.max("pos") + 1 - retained, F.lit(0)).alias("cut"))  # one row
+    rows = n.log.crossJoin(F.broadcast(cut))
+    gone = bag_digest(rows.where("pos < cut"), sign=sign())
+    if n.base is not None:
+        gone = gone.crossJoin(n.base.select(*[F.col(x).alias(f"b_{x}") for x in L.NAMES])).select(*L.added("", "b_"))
+    log = rows.where("pos >= cut").select((F.col("pos") - F.col("cut")).alias("pos"), "is_add", "k")
+    return Node(log, n.members, gone.select(*L.NAMES), n.epoch + 1)
 
 
 def tail(log: DataFrame, position: int) -> DataFrame:

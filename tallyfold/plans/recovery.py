@@ -1,7 +1,7 @@
 """Cutting lineage so that a lost executor costs a re-read, never a recomputation.
 
 Intermediate results go to a folder that the driver and all executors share: the one that the
-session names in ``spark.checkpoint.dir``. A local folder is made only where that is unset (tests).
+session names in ``spark.checkpoint.dir``. A local folder is made only where that is unset and Spark runs in one process (tests).
 """
 
 from __future__ import annotations
@@ -17,15 +17,37 @@ SETTING = "spark.checkpoint.dir"
 def shared_folder(spark: SparkSession) -> str:
     """The folder for intermediate tables; a new local one only if the session names none."""
     folder = spark.conf.get(SETTING, None) or spark.sparkContext.getCheckpointDir()
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(f"{SETTING} has to name a folder that the driver and all executors share")
     if not folder:
         folder = "file://" + tempfile.mkdtemp(prefix="tallyfold-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+#: Where this process has written tables, by session.
+_made: dict[str, list[str]] = {}
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again; a new table each time."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def reunited(tables: list[DataFrame]) -> DataFrame:
+    """The rows of tables of one schema that :func:`written` returned, as one scan however many they are."""
+    files = [f for t in tables for f in t.inputFiles()]
+    return tables[0].sparkSession.read.schema(tables[0].schema).parquet(*files) if files else tables[0]
+
+
+def clean_up(spark: SparkSession) -> int:
+    """Deletes the tables written by this application so far and returns their number. For when all results that rest on them have been stored."""
+    paths = _made.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+    return len(paths)
