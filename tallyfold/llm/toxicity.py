@@ -1,40 +1,46 @@
 """Toxicity by multiple-instance learning: only documents are labelled, sentences are judged.
 
-A sentence's chance to offend is a logistic function of the weights of its distinct words and their beginnings (hashed to a fixed number of
-features); a document's is the noisy-or of its sentences', 1 - prod(1 - p). Weights are trained from document
-labels alone, by gradient descent through the noisy-or, on a bounded sample of labelled rows; afterwards the
-sentences with a chance of at least one half are the offending ones.
+A sentence's chance to offend is a logistic function of the weights of its distinct words and their beginnings; a document's is the noisy-or of its
+distinct sentences', 1 - prod(1 - p). Weights and bias are trained from document labels alone, by gradient descent through the noisy-or until the loss settles, on a
+bounded sample of labelled rows, whole texts of them. Features that occur evenly in documents of both labels are left out beforehand (a log-likelihood ratio below ``telling``).
+Afterwards the sentences with a chance of at least one half are the offending ones.
+
+However many harmless sentences a text has, they don't add up: equal sentences count once, and of the sentences whose chance is below ``floor`` only the likeliest counts. The floor is
+learned too: 999 of 1000 sentences of the harmless training documents lie below it.
 
 Defined results: null and empty texts have no sentences, so their score is 0 and no sentence offends. Without labelled rows, or
 with labels of one kind only, the model is that share of labels: its score, for any text with words, is that of its prior. Rows of
-equal id are scored each on their own. A label that is null is no label. Only the named columns are read.
+equal id are scored each on their own. A label that is null is no label. Only the named columns are read; an input column called ``toxicity`` is replaced by the result.
+A score of exactly ``limit`` counts as toxic.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SENTENCE_END = re.compile(r"[.!?\n]+")
 WORD = re.compile(r"\w+")
-#: Lengths of the word beginnings that count as features.
-STEMS = (4, 5)
+#: Lengths of the word beginnings that count as features; every word with a telling feature is found by its first few letters.
+STEMS = (3, 4, 5, 6)
 RESULT = "score double, predicted int, sentences int, offending array<int>"
 
 
 @dataclass(frozen=True)
 class Model:
-    """One weight for each feature, and the bias."""
+    """One weight for each telling feature, the bias, and the chance below which sentences don't add up."""
 
-    weights: np.ndarray
+    weights: dict[str, float]
     bias: float
+    floor: float = 0.0
 
 
 def sentences(text: str | None) -> list[str]:
@@ -42,58 +48,82 @@ def sentences(text: str | None) -> list[str]:
     return [s for s in SENTENCE_END.split((text or "").lower()) if WORD.search(s)]
 
 
-class Features(dict):
-    """The features of each word met, itself and its beginning, remembered up to a bound."""
+def features(word: str) -> tuple[str, ...]:
+    """A word itself and, marked, its beginnings."""
+    return word, *("^" + word[:n] for n in STEMS if len(word) > n)
+
+
+def telling_features(texts: list[str], y: np.ndarray, telling: float, least: int) -> list[str]:
+    """Features of at least ``least`` documents whose counts in documents of either label are too uneven for chance, in order of the alphabet."""
+    held = [Counter(), Counter()]
+    for text, label in zip(texts, y, strict=True):
+        held[int(label)].update({f for w in set(WORD.findall(text.lower())) for f in features(w)})
+    ones, all_ = float(y.sum()), float(len(y))
+    part = lambda seen, expected: 2 * seen * math.log(seen / expected) if seen else 0.0
 
-    def __init__(self, size: int) -> None:
-        super().__init__()
-        self.size = size
+    def ratio(a: int, b: int) -> float:
+        share = (a + b) / all_
+        return part(a, share * ones) + part(b, share * (all_ - ones)) + part(ones - a, (1 - share) * ones) + part(all_ - ones - b, (1 - share) * (all_ - ones))
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        parts = {word} | {f"^{word[:n]}" for n in STEMS if len(word) > n}
-        value = tuple(xxhash.xxh3_64_intdigest(x.encode("utf-8", "replace")) % self.size for x in sorted(parts))
-        if len(self) < 300_000:
-            self[word] = value
-        return value
+    return sorted(f for f in set(held[0]) | set(held[1]) if held[0][f] + held[1][f] >= least and ratio(held[1][f], held[0][f]) >= telling)
 
-    def of(self, sentence: str) -> set[int]:
-        return set().union(*map(self.__getitem__, set(WORD.findall(sentence))))
 
+@dataclass(frozen=True)
+class Bags:
+    """Documents as bags of distinct sentences: entry i says that sentence ``sentence[i]`` has ``feature[i]``; ``doc`` has the document of each sentence."""
+
+    feature: np.ndarray
+    sentence: np.ndarray
+    doc: np.ndarray
+    docs: int
 
-def train(texts: list[str], labels: list[int], size: int = 1 << 18, rounds: int = 120, rate: float = 1.0, decay: float = 1e-5, start: float = -9.0, rarest: float = 1 / 400) -> Model:
-    """Full-batch AdaGrad on the noisy-or's log loss. Features in fewer than two documents, or than the share ``rarest``, are left out."""
+    def chances(self, weights: np.ndarray, bias: float) -> np.ndarray:
+        z = bias + np.bincount(self.sentence, weights[self.feature], len(self.doc))
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def bags(texts: list[str], number: dict[str, int]) -> Bags:
+    feature, sentence, doc = [], [], []
+    for d, text in enumerate(texts):
+        for s in dict.fromkeys(sentences(text)):
+            found = {number[f] for w in set(WORD.findall(s)) for f in features(w) if f in number}
+            feature += found
+            sentence += [len(doc)] * len(found)
+            doc.append(d)
+    return Bags(*(np.array(x, np.int64) for x in (feature, sentence, doc)), len(texts))
+
+
+def loss_and_slopes(b: Bags, y: np.ndarray, weights: np.ndarray, bias: float, decay: float, heavier: float) -> tuple[float, np.ndarray, float]:
+    """The noisy-or's log loss, toxic documents counting ``heavier`` times, with a penalty on the weights; its slopes by weight and by bias."""
+    p = b.chances(weights, bias)
+    none = np.exp(np.clip(np.bincount(b.doc, np.log1p(-np.minimum(p, 1 - 1e-12)), b.docs), -60, 0))
+    some = np.maximum(1 - none, 1e-9)
+    loss = -(heavier * y * np.log(some) + (1 - y) * np.log(none)).sum() + decay * b.docs * (weights**2).sum() / 2
+    step = p * ((1 - y) - heavier * y * none / some)[b.doc]
+    return float(loss), np.bincount(b.feature, step[b.sentence], len(weights)) + decay * b.docs * weights, float(step.sum())
+
+
+def train(texts: list[str], labels: list[int], telling: float = 8.0, least: int = 3, rounds: int = 1000, rate: float = 0.5, decay: float = 5e-5, settled: float = 1e-3) -> Model:
+    """Full-batch AdaGrad, until 30 rounds lower the loss by less than the share ``settled``."""
     y = np.array(labels, np.float64)
-    feature, weights, bias = Features(size), np.zeros(size), start
     if not len(y) or y.min() == y.max():
-        return Model(weights, -20.0 if not len(y) or not y.max() else 20.0)
-    rows, sentence_of, doc_of, count = [], [], [], 0
-    for d, text in enumerate(texts):
-        for s in sentences(text):
-            found = feature.of(s)
-            rows += found
-            sentence_of += [count] * len(found)
-            doc_of.append(d)
-            count += 1
-    rows, sentence_of, doc_of = (np.array(x, np.int64) for x in (rows, sentence_of, doc_of))
-    # Features of few documents tell nothing of other documents.
-    documents = np.bincount(np.unique(rows * len(y) + np.array(doc_of)[sentence_of]) // len(y), minlength=size)
-    common = documents[rows] >= max(2, rarest * len(y))
-    rows, sentence_of = rows[common], sentence_of[common]
-    seen = np.full(size, 1e-8)
-    seen_bias = 1e-8
+        return Model({}, -20.0 if not len(y) or not y.max() else 20.0)
+    names = telling_features(texts, y, telling, least)
+    b = bags(texts, {f: i for i, f in enumerate(names)})
+    share = y.mean()
+    bias = -math.log(1 / (1 - (1 - share) ** (len(y) / max(1, len(b.doc)))) - 1)  # so that the noisy-or of a mean document is the share
+    weights, seen, seen_bias, losses = np.zeros(len(names)), np.full(len(names), 1e-8), 1e-8, []
     for _ in range(rounds):
-        z = bias + np.bincount(sentence_of, weights[rows], count)
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        none = np.exp(np.clip(np.bincount(doc_of, np.log1p(-np.minimum(p, 1 - 1e-12)), len(y)), -60, 0))
-        some = np.maximum(1 - none, 1e-9)
-        step = p * ((1 - y) - y * none / some)[doc_of]
-        slope = np.bincount(rows, step[sentence_of], size) + decay * len(y) * weights
-        seen += slope**2
-        weights -= rate * slope / np.sqrt(seen)
-        slope_bias = step.sum()
-        seen_bias += slope_bias**2
-        bias -= 0.1 * rate * slope_bias / seen_bias**0.5
-    return Model(weights, float(bias))
+        loss, slope, slope_bias = loss_and_slopes(b, y, weights, bias, decay, max(1.0, (1 / share - 1) ** 0.5))
+        losses.append(loss)
+        if len(losses) > 50 and losses[-31] - loss < settled * abs(loss):
+            break
+        seen, seen_bias = seen + slope**2, seen_bias + slope_bias**2
+        weights = weights - rate * slope / np.sqrt(seen)
+        bias -= rate * slope_bias / seen_bias**0.5
+    harmless = b.chances(weights, bias)[y[b.doc] == 0]
+    floor = min(0.5, float(np.quantile(harmless, 0.999))) if len(harmless) else 0.0
+    return Model({f: float(w) for f, w in zip(names, weights, strict=True) if w}, float(bias), floor)
 
 
 def pick(labels: DataFrame, label: str, order: Column, sample_rows: int = 6000) -> DataFrame:
@@ -102,51 +132,60 @@ def pick(labels: DataFrame, label: str, order: Column, sample_rows: int = 6000)
     return halves[0].unionAll(halves[1])
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", order_by: Column | None = None, sample_rows: int = 6000, piece_chars: int = 20_000, **settings) -> Model:
-    """Train on at most ``sample_rows`` rows, half of each label where there are as many, the first by ``order_by``
-    (a hash of the text unless given), ``piece_chars`` characters of each."""
+def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", order_by: Column | None = None, sample_rows: int = 6000, **settings) -> Model:
+    """Train on at most ``sample_rows`` rows, half of each label where there are as many, the first by ``order_by`` (a hash of the text unless given). So the driver
+    holds as many texts, whole ones."""
     order = F.xxhash64(F.col(text)) if order_by is None else order_by
-    rows = labelled.select(F.substring(F.col(text), 1, piece_chars).alias("t"), F.col(label).cast("int").alias("y"), order.alias("o")).where(F.col("t").isNotNull())
+    rows = labelled.select(F.col(text).alias("t"), F.col(label).cast("int").alias("y"), order.alias("o")).where(F.col("t").isNotNull())
     picked = [r for y in (0, 1) for r in rows.where(F.col("y") == y).orderBy("o", "t").limit(sample_rows // 2).collect()]
     return train([r["t"] for r in picked], [r["y"] for r in picked], **settings)
 
 
 class Scorer:
-    """Sentence and document scores, with each word's weight remembered up to a bound."""
+    """Sentence and document scores. Most words have no telling feature, which their first letters show."""
 
-    def __init__(self, weights: np.ndarray, bias: float) -> None:
-        self.weights, self.bias, self.feature = weights, bias, {}
-        self.features = Features(len(weights))
+    def __init__(self, model: Model) -> None:
+        self.model, self.neutral = model, 1 / (1 + math.exp(-model.bias))
+        self.words = {f for f in model.weights if f[0] != "^"}
+        self.fronts = {f[1 : 1 + STEMS[0]] for f in model.weights if f[0] == "^"}
 
-    def _weighty(self, word: str) -> tuple[tuple[int, float], ...]:
-        """A word's features that have weight; most words have few."""
-        if word not in self.feature:
-            if len(self.feature) > 500_000:
-                self.feature.clear()
-            self.feature[word] = tuple((f, float(self.weights[f])) for f in self.features.__missing__(word) if self.weights[f])
-            self.features.clear()
-        return self.feature[word]
+    def chance(self, words: set[str]) -> float:
+        found = {f for w in words for f in features(w)}
+        z = self.model.bias + sum(self.model.weights.get(f, 0.0) for f in sorted(found))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
     def __call__(self, text: str | None, limit: float) -> tuple[float, int, int, list[int]]:
         found = sentences(text)
-        clean, offending = 0.0, []
-        for k, s in enumerate(found):
-            z = self.bias + sum({f: w for word in set(WORD.findall(s)) for f, w in self._weighty(word)}.values())
-            z = max(-30.0, min(30.0, z))
-            clean -= np.log1p(np.exp(z))
-            if z >= 0:
-                offending.append(k)
-        score = float(-np.expm1(clean))
+        if not found:
+            return 0.0, int(limit <= 0), 0, []
+        n, known = STEMS[0], self.fronts
+        hot = {w for w in set(WORD.findall(text.lower())) if w[:n] in known or w in self.words}
+        chances = {}
+        if hot:
+            for s in set(found):
+                own = hot.intersection(WORD.findall(s))
+                chances[s] = self.chance(own) if own else self.neutral
+        else:
+            chances[found[0]] = self.neutral
+        clean, below, offending = 1.0, 0.0, []
+        for p in sorted(chances.values()):  # in order, so that the same sentences have the same score
+            if p < self.model.floor:
+                below = p
+            else:
+                clean *= 1 - p
+        if hot or self.neutral >= 0.5:
+            offending = [k for k, s in enumerate(found) if chances.get(s, self.neutral) >= 0.5]
+        score = min(1.0, max(0.0, 1 - clean * (1 - below)))
         return score, int(score >= limit), len(found), offending
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", limit: float = 0.5) -> DataFrame:
     """``docs`` with one struct column ``toxicity``: score, predicted, how many sentences, and the offending ones by number."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.bias))
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.floor))
 
     @F.pandas_udf(RESULT)
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        judge = Scorer(*shared.value)
+        judge = Scorer(Model(*shared.value))
         for texts in batches:
             yield pd.DataFrame([judge(t, limit) for t in texts], columns=["score", "predicted", "sentences", "offending"])
 
