@@ -1,7 +1,7 @@
 """Language identification by compression.
 
-Each language has a zstandard raw-content dictionary cut from a bounded sample of labelled texts.
-A text is normalised (lower case, runs of anything but letters become one space), split into
+Each language has a zstandard raw-content dictionary: the whole texts of a bounded sample of labelled rows, one after the other.
+A text is normalised (lower case, runs of anything but letters and the marks that belong to them become one space), split into
 blocks, and every block is compressed with each dictionary; the language whose frames are smallest
 in total wins. Whole texts count, block by block, so memory doesn't follow a text's length. A win by a
 relative margin below ``min_margin`` is rejected.
@@ -9,13 +9,15 @@ relative margin below ``min_margin`` is rejected.
 Defined results: null texts and texts without a letter give ``und``, score 0, rejected. With no
 labelled rows every text gives ``und``. Ties go to the alphabetically first language (and are
 rejected, their margin being 0). Repeated rows are judged each on their own. Input columns other
-than those named are ignored, so clashing names don't matter.
+than those named are ignored, so clashing names don't matter; one called ``language`` is replaced by the result.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,16 +27,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNDETERMINED = "und"
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+
+
+def _marks() -> str:
+    """All combining marks, as ranges of a character class."""
+    marks = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("Mn", "Mc")]
+    ends = [i for i, c in enumerate(marks) if i + 1 == len(marks) or marks[i + 1] != c + 1]
+    return "".join(f"\\U{marks[a]:08x}-\\U{marks[b]:08x}" for a, b in zip([0, *(i + 1 for i in ends)], ends, strict=False))
+
+
+NOT_LETTERS = re.compile(rf"(?:[^\w{_marks()}]|[\d_])+")
 RESULT = "lang_pred string, score double, margin double, rejected boolean"
 
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """Raw dictionary content by language; at most ``max_languages * dictionary_bytes`` in all."""
+    """Raw dictionary content by language."""
 
     content: dict[str, bytes]
-    level: int = 3
+    level: int = 9
     block_bytes: int = 1024
     min_margin: float = 0.002
     sharpness: float = 50.0
@@ -44,32 +55,30 @@ def normalised(text: str) -> bytes:
     return NOT_LETTERS.sub(" ", text.lower()).strip().encode("utf-8", "replace")
 
 
-def fit(
-    labelled: DataFrame,
-    text: str = "text",
-    lang: str = "lang",
-    order_by: Column | None = None,
-    sample_rows: int = 400,
-    piece_chars: int = 1000,
-    dictionary_bytes: int = 131_072,
-    max_languages: int = 256,
-    **settings,
-) -> LanguageModel:
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", order_by: Column | None = None, sample_rows: int = 120, max_languages: int = 256, **settings) -> LanguageModel:
     """Build the dictionaries from a bounded sample: for each language, ``sample_rows`` rows, the first
-    by ``order_by`` (a hash of the text unless given), ``piece_chars`` characters of each.
+    by ``order_by`` (a hash of the text unless given).
 
     Rows with a null language or without letters are left out. More than ``max_languages`` values
     are an error, as what reaches the driver must stay bounded.
     """
     order = F.xxhash64(F.col(text)) if order_by is None else order_by
     rows = labelled.select(F.col(lang).alias("l"), F.col(text).alias("t"), order.alias("o")).where(F.col("l").isNotNull() & F.col("t").rlike(r"\p{L}"))
-    first = F.row_number().over(Window.partitionBy("l").orderBy("o", "piece"))
-    sample = rows.select("l", "o", F.substring("t", 1, piece_chars).alias("piece")).withColumn("n", first).where(F.col("n") <= sample_rows)
-    parts = sample.groupBy("l").agg(F.array_sort(F.collect_list(F.struct("n", "piece"))).alias("pieces")).limit(max_languages + 1).collect()
-    if len(parts) > max_languages:
+    # Hashes first, so that only the texts picked are moved.
+    th = F.xxhash64("t").alias("th")
+    first = F.row_number().over(Window.partitionBy("l").orderBy("o", "th"))
+    picked = rows.select("l", "o", th).withColumn("n", first).where(F.col("n") <= sample_rows)
+    keys = picked.select("l", "o", "th", "n").limit(sample_rows * (max_languages + 1)).collect()
+    if len({r["l"] for r in keys}) > max_languages:
         raise ValueError(f"more than {max_languages} languages are labelled")
-    content = {r["l"]: b" ".join(normalised(p["piece"]) for p in r["pieces"])[:dictionary_bytes] for r in parts}
-    return LanguageModel(dict(sorted(content.items())), **settings)
+    spark = labelled.sparkSession
+    wanted = spark.createDataFrame([(r["l"], r["o"], r["th"]) for r in keys], f"l2 string, o2 {dict(picked.dtypes)['o']}, th2 long").distinct()
+    same = (F.col("l") == F.col("l2")) & F.col("o").eqNullSafe(F.col("o2")) & (F.xxhash64("t") == F.col("th2"))
+    texts = {(r["l"], r["o"], r["th"]): r["t"] for r in rows.join(F.broadcast(wanted), same).select("l", "o", th, "t").collect()}  # at most sample_rows a language
+    content: dict[str, list[bytes]] = {}
+    for r in sorted(keys, key=lambda r: (r["l"], r["n"])):
+        content.setdefault(r["l"], []).append(normalised(texts[r["l"], r["o"], r["th"]]))
+    return LanguageModel({k: b" ".join(v) for k, v in sorted(content.items())}, **settings)
 
 
 class Judge:

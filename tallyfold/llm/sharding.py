@@ -66,9 +66,16 @@ def slot_of(keys: list[str], table_size: int, spread: list[str] = (), fan: int =
 
 
 def assign(rows: DataFrame, keys: list[str], shards: list[str], table_size: int = 6421, spread: list[str] = (), fan: int = 1) -> DataFrame:
-    """One row for each input row: the key columns, slot int and shard string."""
-    placed = rows.select(*[F.col(k) for k in keys], slot_of(keys, table_size, spread, fan).alias("slot"))
-    return placed.join(F.broadcast(table_rows(rows.sparkSession, shards, table_size)), "slot").select(*keys, "slot", "shard")
+    """One row for each input row: the key columns, slot int and shard string. If a key has such a name, the result's column gets underscores until it has one of its own."""
+    slot, shard = "slot", "shard"
+    while slot in keys:
+        slot += "_"
+    while shard in [*keys, slot]:
+        shard += "_"
+    own = [f"_key{i}" for i in range(len(keys))]
+    placed = rows.select(*[F.col(f"`{k}`").alias(o) for k, o in zip(keys, own, strict=True)], slot_of(keys, table_size, spread, fan).alias("_slot"))
+    placed = placed.join(F.broadcast(table_rows(rows.sparkSession, shards, table_size)), F.col("_slot") == F.col("slot"))
+    return placed.select(*[F.col(o).alias(k) for k, o in zip(keys, own, strict=True)], F.col("slot").alias(slot), F.col("shard").alias(shard))
 
 
 def oracle(shards: int, table_size: int) -> str:
