@@ -1 +1 @@
-"""See the modules of this package."""
+"""Digests and sets kept up to date from a stream of changes."""

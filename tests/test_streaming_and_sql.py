@@ -1,0 +1,48 @@
+import hashlib
+
+from pyspark.sql import functions as F
+
+from tallyfold.functions import lanes as L
+from tallyfold.functions import sql
+from tallyfold.operators import bags, oplog
+from tallyfold.streaming import changelog
+
+
+def key(n) -> str:
+    return hashlib.sha256(str(n).encode()).hexdigest()
+
+
+def digest(df):
+    return bags.bag_digest(df).select("n", L.digest_hex().alias("d")).first()
+
+
+def test_functions_in_sql(spark):
+    assert sql.register(spark) == ["digest_lane", "digest_hex", "digest_prefix", "varint_size"]
+    keys = spark.createDataFrame([(key(i),) for i in range(50)] + [("ff" * 32,)], "k string")
+    keys.createOrReplaceTempView("keys_of_test")
+    sums = ", ".join(f"sum(digest_lane(k, {i})) % {m}" for i, m in enumerate(L.MODULI))
+    row = spark.sql(f"SELECT count(*) AS n, digest_hex({sums}) AS d FROM keys_of_test").first()
+    assert row == digest(keys)
+    assert tuple(spark.sql("SELECT digest_prefix('" + "f" * 64 + "', 64), digest_prefix('8000', 1), varint_size(127), varint_size(128)").first()) == (-1, 0, 1, 2)
+
+
+def test_a_stream_keeps_digest_and_set(spark, tmp_path):
+    ops = [(i, n > 0, key(abs(n)), abs(n) % 2) for i, n in enumerate([*range(1, 30), -3, -4, 3, -5, 60, -60, 61])]
+    schema = "pos long, is_add boolean, k string, side int"
+    for part in (ops[:10], ops[10:31], ops[31:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    read = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    total = changelog.running_total(read(), ["side"]).writeStream.format("memory").queryName("totals").outputMode("complete").trigger(availableNow=True).start()
+    total.awaitTermination()
+    everything = spark.createDataFrame(ops, schema)
+    want = bags.bag_digest(everything, ["side"], sign=oplog.sign())
+    assert sorted(tuple(r) for r in spark.table("totals").select("side", *L.NAMES).collect()) == sorted(tuple(r) for r in want.select("side", *L.NAMES).collect())
+    held = f"{tmp_path}/set"
+    assert changelog.latest(spark, held).count() == 0
+    one = read().writeStream.foreachBatch(changelog.applier(held)).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    one.awaitTermination()
+    members = changelog.latest(spark, held)
+    assert sorted(r.k for r in members.collect()) == sorted(r.k for r in oplog.last_operation_set(everything).collect())
+    assert changelog.versions(spark, held) == [0, 1, 2]
+    changelog.applier(held)(everything.where(F.col("pos") < 0), 2)  # the last batch again, as an empty one: the set before it stays
+    assert changelog.latest(spark, held).count() == spark.read.parquet(changelog.version(held, 1)).count()
