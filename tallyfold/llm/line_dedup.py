@@ -70,7 +70,8 @@ def _halves(n: Column) -> Column:
 
 
 def _variants(lines: DataFrame) -> DataFrame:
-    """(id, key, kind): the keys of each line (id, line, open). ``open`` has a bit for each of its half keys that another line has."""
+    """(id, key, kind): the keys of each line (id, line, open). ``open`` has a bit for each half of it that a line of equal length shares (0 and 1), one for each that
+    a line of a word less shares (2 and 3), and one that tells whether a line of a word more shares either (4)."""
     rows = lines.select("id", "open", F.split("line", " ").alias("w")).withColumn("n", F.size("w"))
     rows = rows.select("id", "open", "n", F.transform("w", lambda x, i: F.xxhash64(i, x)).alias("at"), F.transform("w", lambda x, i: F.xxhash64(i - 1, x)).alias("moved"))
     rows = rows.select("id", "open", "n", "at", running_xor(F.col("at")).alias("p"), running_xor(F.col("moved")).alias("q"))
@@ -83,7 +84,7 @@ def _variants(lines: DataFrame) -> DataFrame:
     replaced = F.transform(places(0, 1, half), lambda j: key(REPLACED, F.xxhash64(F.lit("r"), n, j, whole.bitwiseXOR(F.get("at", j)))))
     gap = lambda j: F.coalesce(F.get("p", j - 1), zero).bitwiseXOR(end).bitwiseXOR(F.get("q", j))
     shorter = F.transform(places(2, 3, less), lambda j: key(SHORTER, F.xxhash64(F.lit("i"), n - 1, gap(j))))
-    own = F.when(shared(0) | shared(1), F.array(key(WHOLE, F.xxhash64(F.lit("i"), n, whole)))).otherwise(F.array().cast("array<struct<key:bigint,kind:tinyint>>"))
+    own = F.when(shared(4), F.array(key(WHOLE, F.xxhash64(F.lit("i"), n, whole)))).otherwise(F.array().cast("array<struct<key:bigint,kind:tinyint>>"))
     return rows.select("id", F.explode(F.concat(own, replaced, shorter)).alias("k")).select("id", "k.key", "k.kind")
 
 
@@ -97,11 +98,14 @@ def near_lines(lines: DataFrame, docs: DataFrame, doc: str, text: str, min_words
     """(h1, h2) of the distinct lines that are one edit from an earlier one. lines: (h1, h2, place, th, n, halves), one row a distinct line."""
     long = lines.where(F.col("n") >= min_words)
     halves = long.select("h1", "h2", "place", "th", F.posexplode("halves").alias("slot", "half"))
-    crowded = halves.groupBy("half").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("half")
-    crowded = written(crowded, "halves")
+    # A half key tells lines of one length (slots 0 and 1), which may differ by a replacement, and lines of one word more (2 and 3).
+    own = F.when(F.col("slot") < 2, F.col("h1"))
+    crowded = halves.groupBy("half").agg((F.min(own) != F.max(own)).alias("same"), (F.count(own) > 0).alias("shorter"), F.bool_or(F.col("slot") >= 2).alias("longer"))
+    crowded = written(crowded.select("half", F.coalesce("same", F.lit(False)).alias("same"), (F.col("shorter") & F.col("longer")).alias("grown")).where("same OR grown"), "halves")
     some = sieve.may(halves, [F.col("half")], crowded, [F.col("half")])
-    open_ = F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("slot"))).alias("open")
-    near = some.join(crowded, "half", "left_semi").groupBy("h1", "h2", "place", "th").agg(open_)
+    bit = F.call_function("shiftleft", F.lit(1), F.col("slot"))
+    open_ = F.when(F.col("slot") >= 2, F.when(F.col("grown"), bit).otherwise(0)).otherwise(F.when(F.col("same"), bit).otherwise(0) + F.when(F.col("grown"), 16).otherwise(0))
+    near = some.join(crowded, "half").groupBy("h1", "h2", "place", "th").agg(F.bit_or(open_).alias("open")).where("open <> 0")
     near = written(near, "near-places")
     # Numbered in the order of places, so that one number tells lines apart and orders them.
     order = ("place", "th", "h1", "h2")

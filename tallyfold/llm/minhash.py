@@ -196,7 +196,7 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", se
     classes, linked = links(signed, docs, doc, text, s)
     roots = components(linked, "a", "b").select(F.col("node").alias("cls"), "root")
     named = classes.join(roots, "cls", "left").select("cls", "doc", F.coalesce("root", "cls").alias("root"))
-    least = named.groupBy("root").agg(F.min("doc").alias("least"))
+    least = written(named.groupBy("root").agg(F.min("doc").alias("least")), "least")  # so that Spark can split a large component
     ids = named.join(least, "root").select(F.col("cls").alias("c2"), "least")
     rows = signed.select("doc", "th", "n", "cls").join(ids, F.col("cls") == F.col("c2"), "left")
     component = F.when(F.col("cls").isNull(), F.col("doc")).otherwise(F.col("least"))

@@ -5,8 +5,9 @@ distinct sentences', 1 - prod(1 - p). Weights and bias are trained from document
 bounded sample of labelled rows, whole texts of them. Features that occur evenly in documents of both labels are left out beforehand (a log-likelihood ratio below ``telling``).
 Afterwards the sentences with a chance of at least one half are the offending ones.
 
-However many harmless sentences a text has, they don't add up: equal sentences count once, and of the sentences whose chance is below ``floor`` only the likeliest counts. The floor is
-learned too: 999 of 1000 sentences of the harmless training documents lie below it.
+However many harmless sentences a text has, they don't add up: equal sentences count once, and of the sentences whose chance is below a floor only the likeliest counts. The floor is
+learned too, and rises with the number of distinct sentences: of as many sentences of harmless training documents, one lies above it in one of twenty cases. Where the training
+documents have too few sentences to tell, only offending sentences lie above it.
 
 Defined results: null and empty texts have no sentences, so their score is 0 and no sentence offends. Without labelled rows, or
 with labels of one kind only, the model is that share of labels: its score, for any text with words, is that of its prior. Rows of
@@ -31,21 +32,27 @@ SENTENCE_END = re.compile(r"[.!?\n]+")
 WORD = re.compile(r"\w+")
 #: Lengths of the word beginnings that count as features; every word with a telling feature is found by its first few letters.
 STEMS = (3, 4, 5, 6)
+#: How often a harmless sentence of a text may lie above the floor.
+CHANCE = 0.05
 RESULT = "score double, predicted int, sentences int, offending array<int>"
 
 
 @dataclass(frozen=True)
 class Model:
-    """One weight for each telling feature, the bias, and the chance below which sentences don't add up."""
+    """One weight for each telling feature, the bias, and the chances below which sentences don't add up in texts of up to 1, 2, 4 and so on distinct ones."""
 
     weights: dict[str, float]
     bias: float
-    floor: float = 0.0
+    floors: tuple[float, ...] = ()
+
+    def floor(self, n: int) -> float:
+        step = (n - 1).bit_length()
+        return self.floors[step] if step < len(self.floors) else 0.5
 
 
 def sentences(text: str | None) -> list[str]:
-    """Stretches between sentence ends that hold a word, in order."""
-    return [s for s in SENTENCE_END.split((text or "").lower()) if WORD.search(s)]
+    """Stretches between sentence ends that hold a word, trimmed, in order."""
+    return [s.strip() for s in SENTENCE_END.split((text or "").lower()) if WORD.search(s)]
 
 
 def features(word: str) -> tuple[str, ...]:
@@ -122,8 +129,9 @@ def train(texts: list[str], labels: list[int], telling: float = 8.0, least: int
         weights = weights - rate * slope / np.sqrt(seen)
         bias -= rate * slope_bias / seen_bias**0.5
     harmless = b.chances(weights, bias)[y[b.doc] == 0]
-    floor = min(0.5, float(np.quantile(harmless, 0.999))) if len(harmless) else 0.0
-    return Model({f: float(w) for f, w in zip(names, weights, strict=True) if w}, float(bias), floor)
+    sizes = [1 << i for i in range(64) if (1 << i) <= CHANCE * len(harmless)]
+    floors = tuple(min(0.5, float(np.quantile(harmless, 1 - CHANCE / n))) for n in sizes)
+    return Model({f: float(w) for f, w in zip(names, weights, strict=True) if w}, float(bias), floors)
 
 
 def pick(labels: DataFrame, label: str, order: Column, sample_rows: int = 6000) -> DataFrame:
@@ -168,8 +176,9 @@ class Scorer:
         else:
             chances[found[0]] = self.neutral
         clean, below, offending = 1.0, 0.0, []
+        floor = self.model.floor(len(set(found)))
         for p in sorted(chances.values()):  # in order, so that the same sentences have the same score
-            if p < self.model.floor:
+            if p < floor:
                 below = p
             else:
                 clean *= 1 - p
@@ -181,7 +190,7 @@ class Scorer:
 
 def score(docs: DataFrame, model: Model, text: str = "text", limit: float = 0.5) -> DataFrame:
     """``docs`` with one struct column ``toxicity``: score, predicted, how many sentences, and the offending ones by number."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.floor))
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.floors))
 
     @F.pandas_udf(RESULT)
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

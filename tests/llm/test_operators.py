@@ -233,11 +233,16 @@ def test_neighbours_of_few_and_odd_vectors(spark):
     assert ann.neighbours(vectors.where("vec_id < 0"), F.col("vec_id") % 20 == 0).count() == 0
 
 
-def test_forest_recall(spark):
+def test_forest_holds_what_is_asked_for():
     draw = np.random.default_rng(5)
     x = draw.standard_normal((2000, 16))
-    forest = ann.Forest(x, float(np.linalg.norm(x, axis=1).max()), 32, 1)
-    hits = [len(set(np.argsort(-(x @ q))[:20]) & set(c.tolist())) for q, c in zip(x[:40], forest.candidates(x[:40], 1500), strict=True)]
+    projections = ann.planes(32, 16, 1)
+    forest, asked = ann.Forest(x, float(np.linalg.norm(x, axis=1).max()), projections), ann.strings(np.column_stack([x[:40], np.zeros(40)]), projections)
+    for least in (21, 700, 2000 * 32):
+        found = list(forest.candidates(asked, least))
+        assert all(len(c) * 32 >= least for c in found)  # what several trees hold counts for each
+    assert all(len(c) == 2000 for c in found)
+    hits = [len(set(np.argsort(-(x @ q))[:20]) & set(c.tolist())) for q, c in zip(x[:40], forest.candidates(asked, 1500), strict=True)]
     assert sum(hits) / 800 >= 0.9
 
 
