@@ -6,9 +6,9 @@ word is hit if it lies inside any occurrence of a window. Winnowing with ``gram`
 the benchmark's; each hit is extended to the windows around it, which are compared word for word. Windows
 of shorter items go the same way with one hash per window.
 
-The benchmark side is cut by hash into blocks of about ``block_words`` windows, each broadcast and
-joined with all documents, so what is broadcast is bounded however large the benchmark is. Documents
-are not shuffled: only one row for each document and one for each verified hit are.
+A bitmap of bounded size (see sieve) tells nearly all document fingerprints apart from the benchmark's, so that one pass over the documents does, however large the
+benchmark is (one more for each length of items shorter than a window, so ten at most), and documents are not shuffled: only one row for each document is, and the few words around each
+fingerprint that may be the benchmark's. Whether the benchmark's side of the joins behind it is broadcast is Spark's choice by its size.
 
 Defined results: null and empty texts have no words and no hits; null items have no windows; a null
 item_id is hit but not listed; items of equal id count once; repeated document rows each keep a row of
@@ -79,33 +79,35 @@ def _hits(docs: DataFrame, windows: DataFrame, length: int, gram: int, with_base
     rows = rows.select("doc", "th", "n", "words", "i", F.get("f", i).alias("own"), F.get("f", i - 1).alias("before"))
     rows = rows.where((i < 0) | (i % per_window == 0) | (F.col("own") != F.col("before")))
     prints = _fingerprints(windows.select(F.split("text", " ").alias("words")), length, gram).select(F.get("f", F.lit(0)).alias("bf")).distinct()
-    rows = rows.select("doc", "th", "n", "words", "i", F.when(i >= 0, F.col("own")).alias("own"))
-    rows = rows.join(F.broadcast(prints), F.col("own") == F.col("bf"), "left").where("i = -1 OR bf IS NOT NULL")
+    prints = written(prints, "fingerprints")
+    # A document's own row has a key of its own, so that all of them don't meet in one task.
+    rows = rows.select("doc", "th", "n", "words", "i", F.when(i >= 0, F.col("own")).otherwise(F.xxhash64("doc", "th")).alias("own"))
+    rows = sieve.may(rows, [F.col("own")], prints, [F.col("bf")], always=i < 0)
+    around = F.when(i >= 0, F.slice("words", i + 1, per_window - 1 + length))
+    rows = rows.select("doc", "th", "n", "i", "own", around.alias("words")).join(prints, F.col("own") == F.col("bf"), "left").where("i = -1 OR bf IS NOT NULL")
     starts = F.when(i == -1, F.array(F.lit(-1))).otherwise(F.sequence(i, F.least(i + (per_window - 1), n - length)))
-    rows = rows.select("doc", "th", "n", "words", F.explode(starts).alias("s"))
-    span = F.when(F.col("s") >= 0, F.array_join(F.slice("words", F.col("s") + 1, length), " "))
+    rows = rows.select("doc", "th", "n", "i", "words", F.explode(starts).alias("s"))
+    span = F.when(F.col("s") >= 0, F.array_join(F.slice("words", F.col("s") - i + 1, length), " ")).otherwise(F.concat(F.lit("\n"), F.xxhash64("doc", "th").cast("string")))
     rows = rows.select("doc", "th", "n", "s", span.alias("span"))
-    rows = rows.join(F.broadcast(windows.select("text", "items")), F.col("span") == F.col("text"), "left").where("s = -1 OR text IS NOT NULL")
+    rows = rows.join(windows.select("text", "items"), F.col("span") == F.col("text"), "left").where("s = -1 OR text IS NOT NULL")
     return rows.select("doc", "th", "n", "s", F.lit(length).alias("length"), "items")
 
 
 def contamination(
     docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
-    window: int = 10, gram: int = 4, block_words: int = 200_000,
+    window: int = 10, gram: int = 4,
 ) -> DataFrame:
     """One row for each document: the id column, th (a hash of its text), n_words, spans (sorted starts and lengths of
     the windows found) and items (sorted texts of the distinct item ids)."""
     if not 0 < gram <= window:
         raise ValueError("gram has to be from 1 to window")
     windows = written(benchmark_windows(benchmark, item, item_text, window), "windows")
-    counts = {r["length"]: r["count"] for r in windows.groupBy("length").count().collect()}
+    lengths = {r["length"] for r in windows.select("length").distinct().collect()}  # at most ``window``
     rows = docs.select(F.col(doc).alias("doc"), F.xxhash64(text).alias("th"), words_of(F.col(text)).alias("words")).withColumn("n", F.size("words"))
     parts = []
-    for length in sorted({window, *counts}, reverse=True):
-        own, blocks = windows.where(F.col("length") == length), -(-counts.get(length, 1) // block_words)
-        for b in range(blocks):
-            block = own.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b) if blocks > 1 else own
-            parts.append(_hits(rows, block, length, gram if length == window else length, with_base=not parts))
+    for length in sorted({window, *lengths}, reverse=True):
+        own = windows.where(F.col("length") == length)
+        parts.append(_hits(rows, own, length, gram if length == window else length, with_base=not parts))
     found = reduce(DataFrame.unionAll, parts).groupBy("doc", "th", "n").agg(
         F.array_sort(F.collect_set(F.when(F.col("s") >= 0, F.struct("s", "length")))).alias("spans"),
         F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),

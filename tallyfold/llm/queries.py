@@ -82,7 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def oracles() -> dict[str, str]:
-    """SQL can't express compression, chaining, tokenizing, forests or training; those queries have tests against brute force instead."""
+    """SQL can't express compression, chaining, tokenizing, forests or training; those queries have tests against plain versions or held-out rows instead."""
     return {
         "op1_url_filter": url_filter.oracle(RULES),
         "op2_sharding": sharding.oracle(SHARDS, TABLE_SIZE),

@@ -18,8 +18,8 @@ def _spot(key: list[Column]) -> tuple[Column, Column]:
     return F.pmod(F.shiftrightunsigned(h, 15), F.lit(BUCKETS)), h.bitwiseAND(F.lit(BITS - 1))
 
 
-def split(rows: DataFrame, key: list[Column], keys: DataFrame, own: list[Column]) -> tuple[DataFrame, DataFrame]:
-    """(may, never): the rows whose ``key`` may be among the ``own`` of ``keys``, and those whose key isn't. Nulls count as values."""
+def split(rows: DataFrame, key: list[Column], keys: DataFrame, own: list[Column], always: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(may, never): the rows whose ``key`` may be among the ``own`` of ``keys``, or for which ``always`` holds, and all others. Nulls count as values."""
     bucket, bit = _spot(own)
     # Dealt by bucket first, so that one bitmap a bucket is made rather than one a bucket and task.
     spots = keys.select(bucket.cast("int").alias("_sv_b"), bit.alias("_sv_bit")).distinct().repartition("_sv_b")
@@ -28,9 +28,10 @@ def split(rows: DataFrame, key: list[Column], keys: DataFrame, own: list[Column]
     seen = rows.withColumns({"_sv_bucket": bucket.cast("int"), "_sv_bit": bit}).join(F.broadcast(maps), F.col("_sv_bucket") == F.col("_sv_b"), "left")
     byte = F.conv(F.hex(F.substring("_sv_map", F.shiftright("_sv_bit", 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     on = F.coalesce(F.getbit(byte, F.col("_sv_bit").bitwiseAND(F.lit(7)).cast("int")) == 1, F.lit(False))
+    on = on if always is None else on | always
     return tuple(seen.where(c).drop("_sv_bucket", "_sv_bit", "_sv_b", "_sv_map") for c in (on, ~on))
 
 
-def may(rows: DataFrame, key: list[Column], keys: DataFrame, own: list[Column]) -> DataFrame:
-    """The rows whose key may be among those of ``keys``."""
-    return split(rows, key, keys, own)[0]
+def may(rows: DataFrame, key: list[Column], keys: DataFrame, own: list[Column], always: Column | None = None) -> DataFrame:
+    """The rows whose key may be among those of ``keys``, and those for which ``always`` holds."""
+    return split(rows, key, keys, own, always)[0]
