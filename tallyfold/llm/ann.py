@@ -15,7 +15,7 @@ every row is indexed, no segment is hot, and the plan doesn't grow with the quer
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, that have another size than most
 (the smaller of equally frequent ones), or rows with a null id take no part, nor do they as queries. Rows of equal id
-and vector count once; an id with several vectors is several candidates and several queries, which share a list. With fewer candidates than ``k``, all are returned; an empty table gives an empty result.
+and vector count once; an id with several vectors is several candidates, and several queries with a list each. With fewer candidates than ``k``, all are returned; an empty table gives an empty result.
 Ties go to the smaller id. Only the named columns are read.
 """
 

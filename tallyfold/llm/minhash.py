@@ -11,7 +11,8 @@ class; what these links join is one component; then, only in bands that still ho
 components, classes of different components with each other, passed on only if one-bit signatures of ``bits`` coordinates,
 made for these classes alone, allow the similarity.
 All links are confirmed on the full sets. A link that could join two components is thus lost only if no
-band is shared, which at the threshold itself has a probability near 1e-6, or the one-bit estimate is off by 5 sigma.
+band is shared, which at the threshold itself has a probability near 1e-6, or the one-bit estimate is off by 5 sigma; with
+``bits`` 0 there is no estimate, and all pairs of different components in a band are compared on their full sets.
 
 Defined results: null texts and texts without words have an empty set, are linked with nothing and are
 kept; a text of fewer words than a shingle is one shingle; rows of the same id and text share their result, so both are
@@ -116,12 +117,12 @@ def sketches(texts: DataFrame, s: Settings) -> DataFrame:
     """(cls, n, bits): set size and one-bit signature of each text. texts: (cls, text)."""
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signer = Signer(s, s.bits)
+        signer = Signer(s, max(1, s.bits))
         for batch in batches:
             n, bits = [], []
             for found in signer.shingles(batch.column("text")):
                 n.append(len(found))
-                bits.append(signer.bits(signer.signature(found)))
+                bits.append(signer.bits(signer.signature(found)) if s.bits else np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(n, pa.int64()), _lists(bits)], ["cls", "n", "bits"])
 
     return texts.select("cls", "text").mapInArrow(sketched, "cls long, n long, bits array<long>")
@@ -181,7 +182,7 @@ def links(signed: DataFrame, docs: DataFrame, doc: str, text: str, s: Settings)
     sketch = sketches(texts.join(own.select("cls"), "cls", "left_semi"), s)
     left = left.join(own, "cls").join(written(sketch, "sketches"), "cls")
     x, y = left.alias("x"), left.alias("y")
-    apart = sum(F.bit_count(F.col("x.bits")[k].bitwiseXOR(F.col("y.bits")[k])) for k in range(-(-s.bits // 64)))
+    apart = F.lit(0) + sum(F.bit_count(F.col("x.bits")[k].bitwiseXOR(F.col("y.bits")[k])) for k in range(-(-s.bits // 64)))
     sized = (F.col("x.n") * 100 >= F.col("y.n") * s.percent) & (F.col("y.n") * 100 >= F.col("x.n") * s.percent)
     once = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")  # of the keys that two classes share, only the least
     cross = (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root")) & sized & (apart <= s.most_apart) & once

@@ -261,6 +261,8 @@ def test_near_duplicates_equal_brute_force(docs, empty):
                     root[a] = root[b] = min(root[a], root[b])
     assert {k: (r.n_shingles, r.component_id, r.kept) for k, r in found.items()} == {i: (len(sets[i]), root[i], root[i] == i) for i in range(len(TEXTS))}
     assert minhash.near_duplicates(empty).count() == 0
+    exact = minhash.near_duplicates(docs, settings=minhash.Settings(bits=0)).where("doc_id IS NOT NULL").collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in exact} == {i: (len(sets[i]), root[i], root[i] == i) for i in range(len(TEXTS))}
 
 
 def test_toxicity_finds_sentences(spark, docs, empty):
