@@ -130,22 +130,20 @@ def peeled(keys: DataFrame, gap: DataFrame, count: int) -> DataFrame:
     gap = gap if most is None else gap.where(F.col("n") <= most)
     # Only keys of gaps are parsed, and written, so that the lanes are columns: inlined, they would outgrow a method.
     own = written(with_lanes(keys.join(gap.select("gap"), F.col("pfx") == F.col("gap")).select("pfx", "k")), "peeled")
-    least = lambda *ks: F.struct(*ks)
     if count == 1:
-        found = own.join(gap, (F.col("pfx") == F.col("gap")) & _equal("", "d_")).groupBy("pfx").agg(F.min("k").alias("k1"))
-        return found
+        return own.join(gap, (F.col("pfx") == F.col("gap")) & _equal("", "d_")).groupBy("pfx").agg(F.min("k").alias("k1"))
     rest = lambda start, *less: [F.pmod(sum((-F.col(f"{x}{n}") for x in less), F.col(f"{start}{n}")), F.lit(m)).alias(f"w_{n}") for n, m in zip(L.NAMES, L.MODULI, strict=True)]
     rows = own.withColumn("copy", F.row_number().over(Window.partitionBy("pfx", "k").orderBy("k")))  # copies are keys of their own
     other = rows.select(F.col("pfx").alias("pfx2"), F.col("k").alias("last"), F.col("copy").alias("last_copy"), *L.NAMES)
     if count == 2:
         wanted = rows.join(gap, F.col("pfx") == F.col("gap")).select("pfx", F.col("k").alias("k1"), F.col("copy").alias("c1"), *rest("d_", ""))
         same = (F.col("pfx") == F.col("pfx2")) & (F.struct("k1", "c1") < F.struct(F.col("last").alias("k1"), F.col("last_copy").alias("c1"))) & _equal("", "w_")
-        return wanted.join(other, same).groupBy("pfx").agg(F.min(least("k1", F.col("last").alias("k2"))).alias("m")).select("pfx", "m.*")
+        return wanted.join(other, same).groupBy("pfx").agg(F.min(F.struct("k1", F.col("last").alias("k2"))).alias("m")).select("pfx", "m.*")
     a, b = rows.alias("a"), rows.select("pfx", "k", "copy", *L.NAMES).alias("b")
     pairs = a.join(gap, F.col("a.pfx") == F.col("gap")).join(b, (F.col("a.pfx") == F.col("b.pfx")) & (F.struct("a.k", "a.copy") < F.struct("b.k", "b.copy")))
     wanted = pairs.select(F.col("a.pfx").alias("pfx"), F.col("a.k").alias("k1"), F.col("b.k").alias("k2"), F.col("b.copy").alias("c2"), *rest("d_", "a.", "b."))
     same = (F.col("pfx") == F.col("pfx2")) & (F.struct("k2", "c2") < F.struct(F.col("last").alias("k2"), F.col("last_copy").alias("c2"))) & _equal("", "w_")
-    return wanted.join(other, same).groupBy("pfx").agg(F.min(least("k1", "k2", F.col("last").alias("k3"))).alias("m")).select("pfx", "m.*")
+    return wanted.join(other, same).groupBy("pfx").agg(F.min(F.struct("k1", "k2", F.col("last").alias("k3"))).alias("m")).select("pfx", "m.*")
 
 
 def _ahead(primary: DataFrame, replica: DataFrame, depth: int, count: int) -> DataFrame:
