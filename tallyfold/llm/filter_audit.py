@@ -81,8 +81,8 @@ def orders(cells: DataFrame) -> DataFrame:
     shares = _over_masks(lambda f, m: F.when(f.bitwiseAND(m) != 0, F.get("all", m) * F.call_function("div", F.lit(120), F.greatest(F.bit_count(m), F.lit(1)))).otherwise(0))
     parts = parts.select("part", "all", *[alive(x).alias(f"s_{x}") for x in LABELS], shares.alias("shares"))
     bit = {f: 1 << k for k, f in enumerate(FILTERS)}
-    steps = [F.struct(F.lit(o).alias("filter_order"), F.lit(k + 1).alias("step"), F.lit(bit[o[k]]).alias("own"), F.lit(sum(bit[f] for f in o[:k])).alias("past")) for o in ORDERS for k in range(len(o))]
-    rows = parts.withColumn("x", F.explode(F.array(*steps))).select("*", "x.*")
+    steps = [f"struct('{o}' AS filter_order, {k + 1} AS step, {bit[o[k]]} AS own, {sum(bit[f] for f in o[:k])} AS past)" for o in ORDERS for k in range(len(o))]
+    rows = parts.withColumn("x", F.expr(f"explode(array({', '.join(steps)}))")).select("*", "x.*")
     past, now = F.col("past"), F.col("past") + F.col("own")
     removed = lambda x: F.get(f"s_{x}", past) - F.get(f"s_{x}", now)
     failing = F.get("s_all", F.lit(0)) - F.get("s_all", F.col("own"))

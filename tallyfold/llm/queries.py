@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import ann, decontaminate, filter_audit, language_id, line_dedup, minhash, packing, passages, periodic, sharding, toxicity, url_filter
+from tallyfold.llm import ann, decontaminate, filter_audit, language_id, line_dedup, minhash, packing, passages, periodic, sharding, swap_packing, toxicity, url_filter
 from tallyfold.sources.tables import table
 
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/"))
@@ -79,13 +79,17 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return swap_packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digest(periodic.find_runs(periodic.planted(table(spark, sf_dir, "documents"))))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_url_filter, op2_sharding, op3_language_id, op4_substring_dedup, op5_packing, op6_decontamination, op7_line_dedup, op8_ann, op9_minhash, op10_toxicity, op11_filter_audit, op13_periodic_runs)
+    for f in (op1_url_filter, op2_sharding, op3_language_id, op4_substring_dedup, op5_packing, op6_decontamination, op7_line_dedup, op8_ann, op9_minhash, op10_toxicity, op11_filter_audit, op12_swap_packing, op13_periodic_runs)
 }
 
 
