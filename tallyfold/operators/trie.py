@@ -56,11 +56,10 @@ def level(keys: DataFrame, depth: int) -> DataFrame:
     return bag_digest(keys.withColumn("pfx", prefix(F.col("k"), depth)), ["pfx"])
 
 
-def compared(primary: DataFrame, replica: DataFrame, depth: int) -> DataFrame:
-    """(pfx, pn, rn, p_l0.., r_l0..) of every prefix that either side has."""
+def aligned(primary: DataFrame, replica: DataFrame) -> DataFrame:
+    """(pfx, pn, rn, p_l0.., r_l0..) of every prefix that either of two summaries (pfx, n, l0..l7) has."""
 
-    def side(df: DataFrame, p: str) -> DataFrame:
-        s = level(df, depth)
+    def side(s: DataFrame, p: str) -> DataFrame:
         return s.select(F.col("pfx").alias(f"{p}pfx"), F.col("n").alias(f"{p}n"), *[F.col(n).alias(f"{p}_{n}") for n in L.NAMES])
 
     both = side(primary, "p").join(side(replica, "r"), F.col("ppfx") == F.col("rpfx"), "full")
@@ -68,6 +67,11 @@ def compared(primary: DataFrame, replica: DataFrame, depth: int) -> DataFrame:
     return both.select(F.coalesce("ppfx", "rpfx").alias("pfx"), zero("pn"), zero("rn"), *[zero(f"{p}_{n}") for p in "pr" for n in L.NAMES])
 
 
+def compared(primary: DataFrame, replica: DataFrame, depth: int) -> DataFrame:
+    """(pfx, pn, rn, p_l0.., r_l0..) of every prefix that either side has."""
+    return aligned(level(primary, depth), level(replica, depth))
+
+
 def differing(rows: DataFrame) -> DataFrame:
     """Those of :func:`compared` whose count or digest differ."""
     differ = F.col("pn") != F.col("rn")
@@ -104,7 +108,12 @@ def difference(primary: DataFrame, replica: DataFrame, depth: int | None = None)
     if depth is None:
         depth = fitting_depth(max(primary.count(), replica.count()))
     open_ = written(mismatches(primary, replica, depth).select("pfx"), "open")
-    signed = _under(primary, open_, depth).select("k", F.lit(1).alias("one")).unionAll(_under(replica, open_, depth).select("k", F.lit(-1).alias("one")))
+    return changes_between(_under(primary, open_, depth), _under(replica, open_, depth))
+
+
+def changes_between(primary: DataFrame, replica: DataFrame) -> DataFrame:
+    """(op, k) that make one bag of keys (k) the other, copies counted."""
+    signed = primary.select("k", F.lit(1).alias("one")).unionAll(replica.select("k", F.lit(-1).alias("one")))
     left = signed.groupBy("k").agg(F.sum("one").alias("n")).where("n <> 0")  # one shuffle for both directions
     rows = left.select(F.when(F.col("n") > 0, "add").otherwise("remove").alias("op"), "k", F.explode(F.sequence(F.lit(1).cast("long"), F.abs("n"))).alias("copy"))
     return rows.select("op", "k")

@@ -32,22 +32,48 @@ _made: dict[str, list[str]] = {}
 def written(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again; a new table each time."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = fresh_folder(spark, tag)
     df.write.parquet(path)
-    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh_folder(spark: SparkSession, tag: str) -> str:
+    """A folder of a new name for tables that are kept up; :func:`clean_up` deletes it too."""
+    path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def reunited(tables: list[DataFrame]) -> DataFrame:
     """The rows of tables of one schema that :func:`written` returned, as one scan however many they are."""
     files = [f for t in tables for f in t.inputFiles()]
     return tables[0].sparkSession.read.schema(tables[0].schema).parquet(*files) if files else tables[0]
 
 
+def _there(spark: SparkSession, path: str):
+    """A path for Hadoop's file systems, and the file system."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return there, there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def numbered(spark: SparkSession, folder: str, name: str, done: bool = True) -> list[int]:
+    """The numbers n of the subfolders ``name=n``, in order; of those alone that a writer has finished, unless done is false."""
+    top, fs = _there(spark, folder)
+    if not fs.exists(top):
+        return []
+    paths = [x.getPath() for x in fs.listStatus(top) if x.getPath().getName().startswith(f"{name}=")]
+    paths = [p for p in paths if not done or fs.exists(_there(spark, f"{p.toString()}/_SUCCESS")[0])]
+    return sorted(int(p.getName().removeprefix(f"{name}=")) for p in paths)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    there, fs = _there(spark, path)
+    fs.delete(there, True)
+
+
 def clean_up(spark: SparkSession) -> int:
     """Deletes the tables written by this application so far and returns their number. For when all results that rest on them have been stored."""
     paths = _made.pop(spark.sparkContext.applicationId, [])
     for path in paths:
-        there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+        removed(spark, path)
     return len(paths)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyfold.functions import fasthash, wire
 from tallyfold.functions import lanes as L
 from tallyfold.operators import bags, oplog, sync, trie
-from tallyfold.sources.tables import table
+from tallyfold.sources.tables import dealt, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,12 +42,12 @@ def query(sql: str | None):
 
 
 def orders(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders")
+    o = dealt(table(spark, d, "orders"))
     return o.withColumn("k", L.key_hex(F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderstatus"), F.round(F.col("o_totalprice") * 100).cast("bigint")))
 
 
 def lines(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").withColumn("k", L.key_hex(F.col("l_orderkey"), F.col("l_linenumber")))
+    return dealt(table(spark, d, "lineitem")).withColumn("k", L.key_hex(F.col("l_orderkey"), F.col("l_linenumber")))
 
 
 def sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -349,7 +349,7 @@ def peel_three(spark, d):
 @query(None)
 def xxh3_digest(spark, d):
     """The digest of all pages by the faster item hash, a missing text being an empty one; SQL has no such hash, so tests compare it with the hash's own library."""
-    pages = table(spark, d, "pages").select(fasthash.xxh3_key(F.coalesce("html", F.lit(""))).alias("k"))
+    pages = dealt(table(spark, d, "pages")).select(fasthash.xxh3_key(F.coalesce("html", F.lit(""))).alias("k"))
     return bags.bag_digest(pages).select("n", L.digest_hex().alias("digest"))
 
 

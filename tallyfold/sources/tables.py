@@ -4,16 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: A table of fewer bytes a core than this may be one row group in one file, which only one task can read.
-SPREAD_BELOW, SPREAD_FROM = 4 << 20, 256 << 10
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table; only Spark's reader touches the path, so any store that Spark reads will do."""
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A small table dealt over all cores, so that what is done to its rows runs on all of them; larger ones are left as they are split by their files."""
-    size, cores = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()), df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if SPREAD_FROM <= size < SPREAD_BELOW * cores else df
+def dealt(df: DataFrame) -> DataFrame:
+    """A table that is split into fewer parts than there are cores, dealt over all of them: for work that costs much more a row than moving it once. Any other is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

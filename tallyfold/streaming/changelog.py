@@ -1,7 +1,7 @@
-"""Streams of changes (is_add, k): digests that follow them, and sets to which they are applied.
+"""Streams of changes (pos, is_add, k): digests that follow them, and stored sets to which they are applied.
 
-A digest is a sum, so a streaming aggregate keeps it exactly, with a state of one row a group however long the stream is. A set's table
-is replaced batch by batch: each batch is applied to the last table and written beside it, and a batch that runs again, after a lost driver, writes the same table again.
+A digest is a sum, so a streaming aggregate keeps it exactly, with a state of one row a group however long the stream is. A stored set gets each batch as changes beside its keys (see
+``sources.keystore``), so a batch writes in proportion to itself, and one that runs again after a lost driver changes nothing.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from tallyfold.functions import lanes as L
 from tallyfold.operators import oplog
 from tallyfold.operators.bags import with_lanes
+from tallyfold.plans.recovery import numbered
+from tallyfold.sources.keystore import KeyStore
 
 
 def running_total(changes: DataFrame, by: list[str] = ()) -> DataFrame:
@@ -22,34 +24,20 @@ def running_total(changes: DataFrame, by: list[str] = ()) -> DataFrame:
     return with_lanes(changes).groupBy(*by).agg(F.coalesce(F.sum(sign), F.lit(0)).alias("n"), *L.total(sign))
 
 
-def version(folder: str, batch: int) -> str:
-    return f"{folder}/version={batch}"
+def store(spark: SparkSession, folder: str, **settings) -> KeyStore:
+    """The set in ``folder``; a new, empty one if there is none. settings: of :meth:`KeyStore.create`."""
+    if numbered(spark, f"{folder.rstrip('/')}/sums/base", "upto"):
+        return KeyStore.open(spark, folder)
+    return KeyStore.create(spark.createDataFrame([], "k string"), folder, **settings)
 
 
-def latest(spark: SparkSession, folder: str) -> DataFrame:
-    """The keys (k) of the last version of a set; none before the first."""
-    found = versions(spark, folder)
-    return spark.read.schema("k string").parquet(version(folder, found[-1])) if found else spark.createDataFrame([], "k string")
-
-
-def versions(spark: SparkSession, folder: str) -> list[int]:
-    """The batches after which a whole table was written, in order."""
-    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(top):
-        return []
-    paths = [x.getPath() for x in fs.listStatus(top) if x.getPath().getName().startswith("version=")]
-    done = [p.getName() for p in paths if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    return sorted(int(n.removeprefix("version=")) for n in done)
-
-
-def applier(folder: str) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch`` of a stream (pos, is_add, k): applies a batch to the set in ``folder``. The last change of a key in a batch decides, by ``pos``."""
+def applier(folder: str, share: float = 0.5, **settings) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch`` of a stream (pos, is_add, k): applies a batch to the set in ``folder``. The last change of a key in a batch decides, by ``pos``. Buckets are rewritten when their
+    changes have grown to ``share`` of their keys."""
 
     def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = [v for v in versions(spark, folder) if v < number]
-        members = spark.read.schema("k string").parquet(version(folder, before[-1])) if before else spark.createDataFrame([], "k string")
-        oplog.apply_tail(members, batch).write.mode("overwrite").parquet(version(folder, number))
+        held = store(batch.sparkSession, folder, **settings)
+        held.apply(batch, number)
+        held.compact(share)
 
     return apply
