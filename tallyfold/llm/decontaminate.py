@@ -128,11 +128,13 @@ def digest(found: DataFrame, doc: str = "doc_id") -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """``docs``, all columns, without the documents that hold a benchmark window. The join is by id and
     text hash, of those documents alone that a bitmap of bounded size tells to be possibly contaminated."""
-    bad = contamination(docs, benchmark, doc, text, **settings).where(F.size("spans") > 0).select(F.col(doc).alias("_bad_doc"), F.col("th").alias("_bad_th"))
+    name = sieve.apart(docs)
+    d, h = name("doc"), name("th")
+    bad = contamination(docs, benchmark, doc, text, **settings).where(F.size("spans") > 0).select(F.col(doc).alias(d), F.col("th").alias(h))
     bad = written(bad, "contaminated")
     th = F.xxhash64(F.col(text))
-    may, never = sieve.split(docs, [F.col(doc), th], bad, [F.col("_bad_doc"), F.col("_bad_th")])
-    return never.unionAll(may.join(bad, F.col("_bad_th").eqNullSafe(th) & F.col("_bad_doc").eqNullSafe(F.col(doc)), "left_anti"))
+    may, never = sieve.split(docs, [F.col(doc), th], bad, [F.col(d), F.col(h)])
+    return never.unionAll(may.join(bad, F.col(h).eqNullSafe(th) & F.col(d).eqNullSafe(F.col(doc)), "left_anti"))
 
 
 def oracle(window: int = 10) -> str:

@@ -18,7 +18,7 @@ Most lines and documents have no part in all this. They are told apart by bitmap
 Defined results: null texts stay null, empty ones empty, with no lines; rows of equal id and text share one
 decision and each keep it; null ids come last in the order of documents; lines at one number of documents with one id, or
 with null ids, but different texts are told apart and ordered by the text's hash; other columns are kept as they are
-and not read, so clashing names don't matter; one called ``line_dedup`` is replaced by the result. An empty table gives an empty result.
+and not read, so clashing names don't matter (ids have to be integers); one called ``line_dedup`` is replaced by the result. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -148,19 +148,21 @@ def dropped_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_
 
 def dedup_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_words: int = 5) -> DataFrame:
     """``docs``, all columns, with ``text`` less its repeated lines, and a struct column ``line_dedup``: n_lines and n_dropped, of lines that aren't blank."""
-    found = written(dropped_lines(docs, doc, text, min_words).select(F.col("doc").alias("_ld_doc"), F.col("th").alias("_ld_th"), F.col("gone").alias("_ld_gone")), "dropped-lines")
+    name = sieve.apart(docs)
+    d, h, gone, flags = (name(x) for x in ("doc", "th", "gone", "flags"))
+    found = written(dropped_lines(docs, doc, text, min_words).select(F.col("doc").alias(d), F.col("th").alias(h), F.col("gone").alias(gone)), "dropped-lines")
     own, th = F.coalesce(F.col(doc).cast("long"), F.lit(LAST)), F.xxhash64(F.col(text))
-    may, never = sieve.split(docs, [own, th], found, [F.col("_ld_doc"), F.col("_ld_th")])
+    may, never = sieve.split(docs, [own, th], found, [F.col(d), F.col(h)])
     lines = F.size(F.filter(F.split(F.col(text), "\n"), lambda x: F.btrim(x, F.lit(" \t\r")) != ""))
-    counts = lambda gone: F.struct(F.coalesce(lines, F.lit(0)).cast("long").alias("n_lines"), gone.cast("long").alias("n_dropped")).alias("line_dedup")
-    rows = may.join(found, (own == F.col("_ld_doc")) & (th == F.col("_ld_th")), "left")
+    counts = lambda n: F.struct(F.coalesce(lines, F.lit(0)).cast("long").alias("n_lines"), n.cast("long").alias("n_dropped")).alias("line_dedup")
+    rows = may.join(found, (own == F.col(d)) & (th == F.col(h)), "left")
     # One byte for each line up to the last dropped one, 1 for dropped: any line is looked up in constant time.
-    runs = F.transform("_ld_gone", lambda no, i: F.concat(F.repeat(F.lit("0"), no - F.coalesce(F.get("_ld_gone", i - 1), F.lit(-1)) - 1), F.lit("1")))
-    rows = rows.withColumn("_ld_flags", F.array_join(runs, "").cast("binary"))
-    kept = F.filter(F.split(F.col(text), "\n"), lambda x, i: F.substring("_ld_flags", i + 1, F.lit(1)) != F.lit(b"1"))
-    new = F.when(F.col("_ld_gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")).alias(text)
+    runs = F.transform(gone, lambda no, i: F.concat(F.repeat(F.lit("0"), no - F.coalesce(F.get(gone, i - 1), F.lit(-1)) - 1), F.lit("1")))
+    rows = rows.withColumn(flags, F.array_join(runs, "").cast("binary"))
+    kept = F.filter(F.split(F.col(text), "\n"), lambda x, i: F.substring(flags, i + 1, F.lit(1)) != F.lit(b"1"))
+    new = F.when(F.col(gone).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")).alias(text)
     columns = lambda t: [t if c == text else F.col(f"`{c}`") for c in docs.columns if c != "line_dedup"]
-    changed = rows.select(*columns(new), counts(F.coalesce(F.size("_ld_gone"), F.lit(0))))
+    changed = rows.select(*columns(new), counts(F.coalesce(F.size(gone), F.lit(0))))
     return changed.unionAll(never.select(*columns(F.col(text)), counts(F.lit(0))))
 
 

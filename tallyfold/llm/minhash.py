@@ -206,7 +206,9 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", se
 
 def drop_near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", settings: Settings | None = None) -> DataFrame:
     """``docs``, all columns, with one document of each component: that of the smallest id."""
-    gone = near_duplicates(docs, doc, text, settings).where("NOT kept").select(F.col(doc).alias("_nd_doc"), F.col("th").alias("_nd_th"))
+    name = sieve.apart(docs)
+    d, h = name("doc"), name("th")
+    gone = near_duplicates(docs, doc, text, settings).where("NOT kept").select(F.col(doc).alias(d), F.col("th").alias(h))
     gone = written(gone, "duplicates")
-    may, never = sieve.split(docs, [F.col(doc).cast("long"), F.xxhash64(F.col(text))], gone, [F.col("_nd_doc").cast("long"), F.col("_nd_th")])
-    return never.unionAll(may.join(gone, F.col("_nd_doc").eqNullSafe(F.col(doc)) & F.col("_nd_th").eqNullSafe(F.xxhash64(F.col(text))), "left_anti"))
+    may, never = sieve.split(docs, [F.col(doc).cast("long"), F.xxhash64(F.col(text))], gone, [F.col(d).cast("long"), F.col(h)])
+    return never.unionAll(may.join(gone, F.col(d).eqNullSafe(F.col(doc)) & F.col(h).eqNullSafe(F.xxhash64(F.col(text))), "left_anti"))

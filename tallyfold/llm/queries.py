@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfold.llm import ann, decontaminate, filter_audit, language_id, line_dedup, minhash, packing, passages, periodic, sharding, swap_packing, toxicity, url_filter
-from tallyfold.sources.tables import table
+from tallyfold.sources.tables import dealt, table
 
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/"))
 SHARDS, TABLE_SIZE = 64, 6421
@@ -35,7 +35,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out().alias("held_out"))
+    docs = dealt(table(spark, sf_dir, "documents")).select("doc_id", "text", "lang", held_out().alias("held_out"))
     model = language_id.fit(docs.where(~F.col("held_out")), order_by=F.xxhash64("doc_id"))
     return language_id.identify(docs, model).select("doc_id", "held_out", "language.*")
 
@@ -45,7 +45,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+    return packing.pack(dealt(table(spark, sf_dir, "documents")), tokenizer_path())
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +66,7 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out().alias("held_out"))
+    docs = dealt(table(spark, sf_dir, "documents")).select("doc_id", "text", held_out().alias("held_out"))
     labels = table(spark, sf_dir, "labels").where(F.col("toxic").isNotNull() & ~held_out()).select("doc_id", "toxic")
     # The bounded sample is drawn from the labels, which are small rows; only then are its texts read.
     picked = toxicity.pick(labels, "toxic", F.xxhash64("doc_id"))
@@ -80,11 +80,11 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return swap_packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+    return swap_packing.pack(dealt(table(spark, sf_dir, "documents")), tokenizer_path())
 
 
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return periodic.digest(periodic.find_runs(periodic.planted(table(spark, sf_dir, "documents"))))
+    return periodic.digest(periodic.find_runs(periodic.planted(dealt(table(spark, sf_dir, "documents")))))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
