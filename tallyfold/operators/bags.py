@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfold.functions import lanes as L
+from tallyfold.functions.fold import folded
 from tallyfold.plans.recovery import written
 
 
@@ -16,7 +17,9 @@ def with_lanes(keys: DataFrame, k: str = "k") -> DataFrame:
 
 
 def bag_digest(keys: DataFrame, by: list[str] = (), k: str = "k", sign: Column | None = None, how: str = "groupBy") -> DataFrame:
-    """(by.., n, l0..l7): partial sums on the map side, then one row a group. ``how``: groupBy, rollup or cube."""
+    """(by.., n, l0..l7): partial sums on the map side, then one row a group. ``how``: groupBy, rollup or cube. A whole table is folded in arrays, a batch at a time."""
+    if not by and how == "groupBy":
+        return folded(keys, k=k, sign=sign)
     return getattr(with_lanes(keys, k), how)(*by).agg(F.count("*").alias("n"), *L.total(sign))
 
 

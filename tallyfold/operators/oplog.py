@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.functions import lanes as L
 from tallyfold.operators.bags import ranked, running_digest
+from tallyfold.plans.recovery import written
 
 # Fixed value.
 #: How many operations a compacted log keeps; one position more is addressable.
@@ -20,13 +21,27 @@ def sign():
 
 
 def effective_operations(log: DataFrame) -> DataFrame:
-    """The log without deletes of keys that aren't there at that time: per key, a running count reflected at zero."""
-    w = Window.partitionBy("k").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    walk = log.withColumn("s", F.sum(sign()).over(w))
-    low = walk.withColumn("low", F.least(F.lit(0), F.min("s").over(w)))
-    earlier = Window.partitionBy("k").orderBy("pos")
-    held = low.withColumn("held", F.coalesce(F.lag(F.col("s") - F.col("low")).over(earlier), F.lit(0)))
-    return held.where(F.col("is_add") | (F.col("held") > 0)).select("pos", "is_add", "k")
+    """The log without deletes of keys that aren't there at that time: per key, a running count reflected at zero.
+
+    A key with any share of the log is walked by many tasks: the log is dealt by ranges of (k, pos), each part is walked by itself, and of the few keys that lie in several parts, at most one on each
+    border, a part's sum and least running sum say where the next part begins."""
+    dealt = log.select("pos", "is_add", "k").repartitionByRange("k", "pos").withColumn("part", F.spark_partition_id())
+    dealt = written(dealt.withColumn("sign", sign()), "ranges")
+    ends = dealt.groupBy("part").agg(F.min("k").alias("least"), F.max("k").alias("most"))  # one row a part
+    edges = ends.select(F.explode(F.array_distinct(F.array("least", "most"))).alias("k")).groupBy("k").count().where("count > 1").select("k")
+    local = Window.partitionBy("part", "k").orderBy("pos")
+    walk = dealt.withColumn("s", F.sum("sign").over(local.rowsBetween(Window.unboundedPreceding, 0)))
+    chunks = walk.join(F.broadcast(edges), "k", "left_semi").groupBy("part", "k").agg(F.sum("sign").alias("total"), F.min("s").alias("low"))  # two rows a part at most
+    earlier = Window.partitionBy("k").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    begun = chunks.withColumn("begin", F.coalesce(F.sum("total").over(earlier), F.lit(0)))
+    begun = begun.withColumn("least", F.coalesce(F.min(F.col("begin") + F.col("low")).over(earlier), F.lit(0)))
+    begun = begun.select(F.col("part").alias("part2"), F.col("k").alias("k2"), "begin", "least")
+    least = F.min("s").over(local.rowsBetween(Window.unboundedPreceding, -1))
+    rows = walk.withColumn("low", least).join(F.broadcast(begun), (F.col("part") == F.col("part2")) & (F.col("k") == F.col("k2")), "left")
+    zero = F.lit(0)
+    begin = F.coalesce("begin", zero)
+    held = begin + F.col("s") - F.col("sign") - F.least(zero, F.coalesce("least", zero), begin + F.coalesce("low", zero))
+    return rows.where(F.col("is_add") | (held > 0)).select("pos", "is_add", "k")
 
 
 def last_operation_set(log: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ from tallyfold.functions import wire
 from tallyfold.operators import oplog, trie
 from tallyfold.operators.bags import bag_digest
 from tallyfold.plans.recovery import written
+from tallyfold.sources.keystore import KeyStore, difference
+from tallyfold.sources.logstore import LogStore
 
 # Fixed value.
 ROUND_TRIP_MS = 50
@@ -98,3 +100,39 @@ def synchronise(*, primary: oplog.Node, replica: oplog.Node, force_prefixes: boo
     done = trie.reconcile(primary.members, replica.members, bits)
     members = written(trie.applied(replica.members, done.changes), "members")
     return Synced(oplog.Node(oplog.rebuilt(members), members, None, primary.epoch), True, 1 + done.round_trips, sent + done.bytes_sent, received + done.bytes_received, done.items_added, done.items_deleted)
+
+
+@dataclass(frozen=True)
+class StoredNode:
+    """One side of a synchronisation whose log and set are stored and kept up by batches."""
+
+    log: LogStore
+    keys: KeyStore
+
+
+@dataclass(frozen=True)
+class Caught:
+    """How a stored replica caught up, and with how many operations (by the tail) or keys (by prefixes)."""
+
+    used_fallback: bool
+    items_added: int
+    items_deleted: int
+
+
+def synchronise_stored(*, primary: StoredNode, replica: StoredNode, force_prefixes: bool = False) -> Caught:
+    """Like :func:`synchronise` of stored nodes, in place: the replica's head row is resolved by the primary's index, and only batches of the tail are read and appended to the replica as one
+    batch; or else the stored summaries are compared, and the keys under prefixes that differ, and the replica's log is built anew."""
+    asked, epoch = replica.log.head(), primary.log.head()["epoch"]
+    start = None if force_prefixes else primary.log.resolve(asked["epoch"], asked["position"], asked)
+    number = max(replica.log.last_batch(), replica.keys.last()) + 1
+    if start is not None:
+        ops = written(primary.log.tail(start), "tail")
+    else:
+        ops = written(difference(primary.keys, replica.keys).select(F.lit(0).cast("long").alias("pos"), (F.col("op") == "add").alias("is_add"), "k"), "changes")
+    counts = ops.agg(F.count_if("is_add").alias("adds"), F.count_if(~F.col("is_add")).alias("deletes")).first()
+    replica.keys.apply(ops, number)
+    if start is not None:
+        replica.log.append(ops, number, epoch)
+    else:
+        replica.log.rebuild(replica.keys.members(), epoch)
+    return Caught(start is None, counts["adds"], counts["deletes"])

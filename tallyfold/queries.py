@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from tallyfold.functions import fasthash, wire
 from tallyfold.functions import lanes as L
 from tallyfold.operators import bags, oplog, sync, trie
+from tallyfold.plans.recovery import fresh_folder
+from tallyfold.sources.blockstore import BlockStore
+from tallyfold.sources.keystore import KeyStore, difference
+from tallyfold.sources.logstore import LogStore
 from tallyfold.sources.tables import dealt, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -346,13 +350,28 @@ def peel_three(spark, d):
     return trie.peel_three(*sides(spark, d), 7)
 
 
-@query(None)
+#: The digest of the pages at scale factor 0.01, computed apart, with the hash's own library: SQL has no such hash.
+GOLDEN_PAGES = "90c71cdaaabf5a681b5b7b32f567e926f19dafec9650f70acb4a980c044a448f"
+
+
+@query(f"SELECT count(*) AS n, '{GOLDEN_PAGES}' AS digest FROM pages")
 def xxh3_digest(spark, d):
-    """The digest of all pages by the faster item hash, a missing text being an empty one; SQL has no such hash, so tests compare it with the hash's own library."""
+    """The digest of all pages by the faster item hash, a missing text being an empty one."""
     pages = dealt(table(spark, d, "pages")).select(fasthash.xxh3_key(F.coalesce("html", F.lit(""))).alias("k"))
     return bags.bag_digest(pages).select("n", L.digest_hex().alias("digest"))
 
 
+@query("SELECT count(*) FILTER (page_id % 2 = 1) AS n, true AS equal FROM pages WHERE url IS NOT NULL")
+def xxh3_remove(spark, d):
+    """The digest of all urls, once the items of every other page have been removed from it: how many are left, and whether it equals the digest of those."""
+    urls = dealt(table(spark, d, "pages")).where("url IS NOT NULL").select("page_id", "url")
+    digest = lambda rows: bags.bag_digest(rows.select(fasthash.xxh3_key(F.col("url")).alias("k")))
+    left = fasthash.without_items(digest(urls), urls.where("page_id % 2 = 0"), "url")
+    rest = digest(urls.where("page_id % 2 = 1"))
+    same = F.struct(*[F.col(f"a.{n}") for n in ("n", *L.NAMES)]) == F.struct(*[F.col(f"b.{n}") for n in ("n", *L.NAMES)])
+    return left.alias("a").crossJoin(rest.alias("b")).select("a.n", same.alias("equal"))  # one row each
+
+
 VARINT = lambda n: f"(CASE WHEN {n} < 128 THEN 1 WHEN {n} < 16384 THEN 2 WHEN {n} < 2097152 THEN 3 WHEN {n} < 268435456 THEN 4 ELSE 5 END)"
 
 
@@ -365,3 +384,106 @@ VARINT = lambda n: f"(CASE WHEN {n} < 128 THEN 1 WHEN {n} < 16384 THEN 2 WHEN {n
 def sync_first_answer(spark, d):
     g = log(spark, d)
     return sync.first_answer(primary=g, replica=g.where("pos < 9000"))
+
+
+def changes_of_sides(spark: SparkSession, d: str) -> DataFrame:
+    """(pos, is_add, k): the changes that make the primary's orders the replica's: orders with 3 go, those with 7 come."""
+    o = orders(spark, d).where("o_orderkey % 100 IN (3, 7)")
+    return o.select(F.col("o_orderkey").alias("pos"), (F.col("o_orderkey") % 100 == 7).alias("is_add"), "k")
+
+
+@query(f"WITH {ORDERS}, {SETS}, x AS (SELECT 10 AS depth, {PFX(10)} AS pfx, k, {LANES} FROM r UNION ALL SELECT 4, {PFX(4)}, k, {LANES} FROM r) SELECT depth, pfx, count(*) AS n, {SUMS} FROM x GROUP BY 1, 2")
+def summary_after_changes(spark, d):
+    """The stored summaries of two levels after batches of changes, some of which are in a rewritten base: what a new summary of the changed set has."""
+    store = KeyStore.create(sides(spark, d)[0], fresh_folder(spark, "set"), 4, (4, 10))
+    changes = changes_of_sides(spark, d)
+    for number, part in enumerate((changes.where("pos % 2 = 0"), changes.where("pos % 2 = 1"))):
+        store.apply(part, number)
+        if not number:
+            store.compact(0.01)
+    return store.summary(10).withColumn("depth", F.lit(10)).unionByName(store.summary(4).withColumn("depth", F.lit(4))).select("depth", "pfx", "n", *L.NAMES)
+
+
+@query(f"WITH {ORDERS}, {SETS} SELECT 'add' AS op, k FROM (SELECT k FROM p EXCEPT ALL SELECT k FROM r) UNION ALL SELECT 'remove', k FROM (SELECT k FROM r EXCEPT ALL SELECT k FROM p)")
+def stored_difference(spark, d):
+    """What a set lacks of another one after changes, by their stored summaries."""
+    stores = [KeyStore.create(sides(spark, d)[0], fresh_folder(spark, "set"), 4, (4, 8, 12)) for _ in range(2)]
+    stores[1].apply(changes_of_sides(spark, d), 0)
+    return difference(*stores)
+
+
+@query(f"WITH {LOG} SELECT k FROM g GROUP BY k HAVING arg_max(is_add, pos)")
+def delta_set(spark, d):
+    """The set that all events leave, applied as batches of unequal size, with a compaction between."""
+    g = log(spark, d)
+    store = KeyStore.create(g.where("false").select("k"), fresh_folder(spark, "set"), 4, (4, 8))
+    for number, part in enumerate(("pos < 100", "pos >= 100 AND pos < 7000", "pos >= 7000")):
+        store.apply(g.where(part), number)
+        if number == 1:
+            store.compact()
+    return store.members()
+
+
+def stored_log(spark: SparkSession, d: str) -> LogStore:
+    """A log of all events, appended as batches of unequal size."""
+    g, store = log(spark, d), LogStore.create(spark, fresh_folder(spark, "log"))
+    for number, part in enumerate(("pos < 100", "pos >= 100 AND pos < 9500", "pos >= 9500")):
+        store.append(g.where(part), number)
+    return store
+
+
+@query(f"{INDEX} SELECT * FROM i")
+def stored_index(spark, d):
+    return stored_log(spark, d).index().where("position > 0")
+
+
+@query(f"{INDEX} SELECT i.position FROM i JOIN u USING ({LIST}) WHERE u.pos = (SELECT max(pos) - 99 FROM u)")
+def stored_resolve(spark, d):
+    """The position that a replica's digest of 99 operations ago has in the stored index."""
+    store = stored_log(spark, d)
+    asked = store.digest_at(store.head()["position"] - 99)
+    return spark.createDataFrame([(store.resolve(-1, 0, asked),)], "position long")
+
+
+@query(f"{FAST} SELECT n, {_hex()} AS digest, false AS used_fallback, 500::BIGINT AS items_added, gone AS items_deleted FROM s, ends")
+def stored_sync(spark, d):
+    """A stored replica that lacks the last 500 inserts and all deletes catches up by the tail; its set has the primary's digest."""
+    o = bags.ranked(orders(spark, d).select("o_orderkey", "k"), ["o_orderkey"]).select("o_orderkey", "k", F.col("at").alias("pos"))
+    n = o.count()
+    inserts = o.select("pos", F.lit(True).alias("is_add"), "k")
+    gone = o.where("o_orderkey % 50 = 0").select((F.col("pos") + n).alias("pos"), F.lit(False).alias("is_add"), "k")
+    batches = (inserts.where(F.col("pos") < n - 500), inserts.where(F.col("pos") >= n - 500), gone)
+    nodes = [sync.StoredNode(LogStore.create(spark, fresh_folder(spark, "log")), KeyStore.create(o.where("false").select("k"), fresh_folder(spark, "set"), 4, (4, 8))) for _ in range(2)]
+    for node, own in zip(nodes, (batches, batches[:1]), strict=True):
+        for number, batch in enumerate(own):
+            node.log.append(batch, number)
+            node.keys.apply(batch, number)
+    done = sync.synchronise_stored(primary=nodes[0], replica=nodes[1])
+    counts = (F.lit(x).cast("long").alias(c) for x, c in ((done.items_added, "items_added"), (done.items_deleted, "items_deleted")))
+    return nodes[1].keys.total().select("n", L.digest_hex().alias("digest"), F.lit(done.used_fallback).alias("used_fallback"), *counts)
+
+
+def blocks(spark: SparkSession, d: str) -> BlockStore:
+    return BlockStore.create(sides(spark, d)[0], fresh_folder(spark, "blocks"), 1000)
+
+
+@query(f'''{RANKED} SELECT k, "at" FROM a WHERE "at" >= 950 AND "at" < 2100''')
+def block_slice(spark, d):
+    return blocks(spark, d).slice(950, 2100)
+
+
+@query(f'''{RANKED}, s AS (SELECT {LANES} FROM a WHERE "at" >= 100 AND "at" < 12345) SELECT count(*) AS n, {SUMS} FROM s''')
+def block_range_digest(spark, d):
+    return blocks(spark, d).range_digest(100, 12345)
+
+
+@query(f"WITH {ORDERS}, {SETS} SELECT count(*) FILTER (k < '80') AS lower_bound FROM p")
+def block_lower_bound(spark, d):
+    return blocks(spark, d).lower_bound("80")
+
+
+@query(f"WITH {LINES}, u AS (SELECT ok AS k FROM l INTERSECT ALL SELECT k FROM (SELECT {ENC('o_orderkey')} AS k FROM orders UNION ALL SELECT {ENC('o_orderkey')} FROM orders)) SELECT k, count(*) AS copies FROM u GROUP BY k")
+def bag_intersect_all(spark, d):
+    """At most two lines of each order: the bag of all lines' orders and two copies of each order have as many in common."""
+    o = table(spark, d, "orders").select(L.key_hex(F.col("o_orderkey")).alias("k"))
+    return line_orders(spark, d).intersectAll(o.unionAll(o)).groupBy("k").agg(F.count("*").alias("copies"))

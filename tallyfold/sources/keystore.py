@@ -139,8 +139,10 @@ class KeyStore:
         whole = F.when(F.length("k") == 64, F.col("k")).otherwise(F.raise_error(F.lit("a key has 32 bytes")))
         return keys.withColumn("k", whole).withColumn("bucket", self._bucket())
 
-    def _put(self, rows: DataFrame, path: str, order: str) -> None:
-        rows.repartitionByRange("bucket", order).sortWithinPartitions("bucket", order).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/{path}")
+    def _put(self, rows: DataFrame, path: str, order: str, large: bool = False) -> None:
+        """large: a bucket may be more than a task should write."""
+        dealt = rows.repartitionByRange("bucket", order) if large else rows.repartition("bucket")
+        dealt.sortWithinPartitions("bucket", order).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/{path}")
 
     def _summed(self, keys: DataFrame, sign: Column) -> DataFrame:
         """(bucket, depth, pfx, n, l0..) at all levels, of keys (k, bucket, ..): those of the deepest prefixes first, the others from them."""
@@ -152,7 +154,7 @@ class KeyStore:
         return up.groupBy("bucket", "depth", "pfx").agg(F.sum("n").alias("n"), *L.total())
 
     def _rewrite(self, keys: DataFrame, sums: DataFrame | None, upto: int, buckets) -> None:
-        self._put(keys, f"keys/base/upto={upto}", "k")
+        self._put(keys, f"keys/base/upto={upto}", "k", large=True)
         self.spark.createDataFrame([(b,) for b in buckets], "bucket int").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/rewritten/upto={upto}")
         if sums is None:
             own = self.spark.read.option("basePath", f"{self.folder}/keys/base").schema(SCHEMAS["keys/base"]).parquet(f"{self.folder}/keys/base/upto={upto}")
