@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -72,12 +73,16 @@ def compared(primary: DataFrame, replica: DataFrame, depth: int) -> DataFrame:
     return aligned(level(primary, depth), level(replica, depth))
 
 
-def differing(rows: DataFrame) -> DataFrame:
-    """Those of :func:`compared` whose count or digest differ."""
+def _differs() -> Column:
     differ = F.col("pn") != F.col("rn")
     for n in L.NAMES:
         differ = differ | (F.col(f"p_{n}") != F.col(f"r_{n}"))
-    return rows.where(differ)
+    return differ
+
+
+def differing(rows: DataFrame) -> DataFrame:
+    """Those of :func:`compared` whose count or digest differ."""
+    return rows.where(_differs())
 
 
 def mismatches(primary: DataFrame, replica: DataFrame, depth: int) -> DataFrame:
@@ -197,41 +202,74 @@ class Reconciled:
     items_deleted: int
 
 
+#: Up to how many bits a level is small enough to be summed up from a larger one whenever it is asked for.
+SMALL = 16
+
+
+def _levels(summary: DataFrame, base: int, bits: int) -> Callable[[int], DataFrame]:
+    """The rows of :func:`compared` at any depth from 0 to ``base`` in steps of ``bits``, from those at ``base``. Each large level is summed up from the one below it and written, so
+    all together cost little more than the first."""
+    sums = [c for p in "pr" for c in ((f"{p}n", None), *((f"{p}_{n}", m) for n, m in zip(L.NAMES, L.MODULI, strict=True)))]
+
+    def up(rows: DataFrame, by: int) -> DataFrame:
+        rows = rows.withColumn("pfx", F.shiftrightunsigned("pfx", by)) if by else rows
+        return rows.groupBy("pfx").agg(*[(F.sum(c) if m is None else F.pmod(F.sum(F.col(c).cast("decimal(20,0)")), F.lit(m)).cast("bigint")).alias(c) for c, m in sums])
+
+    made, depth = {base: summary}, base
+    while depth - bits > SMALL:
+        depth -= bits
+        made[depth] = written(up(made[depth + bits], bits), "level")
+    return lambda wanted: made[wanted] if wanted in made else up(made[depth], depth - wanted)
+
+
 def reconcile(primary: DataFrame, replica: DataFrame, bits: int = 2) -> Reconciled:
     """The whole comparison by prefixes, level by level from the root, as the replica drives it: equal prefixes are dropped, what only one side has goes as a whole, prefixes
     whose counts differ by up to ``LEAF`` are peeled by the side that has more, and all others, as those that can't be peeled, are expanded by ``bits`` bits; at ``DEEPEST`` the keys themselves are exchanged.
 
-    Both sides are summarised once, at a depth that follows from the number of keys; all levels above are sums of that, and below it only
-    keys under differing prefixes are looked at. What reaches the driver is a few counts a level. Byte counts follow the messages: a leaf asks with its prefix (and
+    Both sides are summarised once, at a depth that follows from the number of keys; levels above are sums of that. The keys under prefixes that differ there are written once, of both sides in one table, with their
+    lanes; each level below groups them once and leaves only those under prefixes that go on being expanded. A level takes three jobs, and two more for each kind of leaf that it has.
+    What reaches the driver is a few counts a level. Byte counts follow the messages: a leaf asks with its prefix (and
     a digest of 32 bytes where the primary peels), an expansion names all children, empty ones too, and gets their counts, with a digest unless empty."""
     if bits < 1 or DEEPEST % bits:
         raise ValueError("bits has to divide 64")
     base = fitting_depth(max(primary.count(), replica.count()), bits)
     summary = written(compared(primary, replica, base), "summary")
+    level_of = _levels(summary, base, bits)
     open_ = written(differing(summary).select("pfx"), "open")
-    near = {s: written(_under(df, open_, base).select("k"), "near") for s, df in (("p", primary), ("r", replica))}
-    sums = [c for p in "pr" for c in ((f"{p}n", None), *((f"{p}_{n}", m) for n, m in zip(L.NAMES, L.MODULI, strict=True)))]
+    own = [_under(df, open_, base).select("k", F.lit(s).alias("side")) for s, df in (("p", primary), ("r", replica))]
+    near = written(with_lanes(own[0].unionAll(own[1])).withColumn("top", prefix(F.col("k"), DEEPEST)), "near")
 
-    def nodes(depth: int) -> DataFrame:
+    def at(rows: DataFrame, depth: int) -> DataFrame:
+        return rows.withColumn("pfx", F.shiftrightunsigned("top", DEEPEST - depth) if depth else F.lit(0).cast("bigint"))
+
+    def nodes(depth: int, parents: DataFrame | None) -> DataFrame:
+        """Of ``depth``, under these parents; all keys that are near have such a parent below ``base``."""
         if depth > base:
-            return compared(near["p"], near["r"], depth)
-        up = summary.withColumn("pfx", F.shiftrightunsigned("pfx", base - depth) if base > depth else F.col("pfx"))
-        return up.groupBy("pfx").agg(*[(F.sum(c) if m is None else F.pmod(F.sum(F.col(c).cast("decimal(20,0)")), F.lit(m)).cast("bigint")).alias(c) for c, m in sums])
+            one = {s: F.when(F.col("side") == s, 1).otherwise(0) for s in "pr"}
+            sums = [c.alias(f"{s}_{n}") for s in "pr" for c, n in zip(L.total(one[s]), L.NAMES, strict=True)]
+            return at(near, depth).groupBy("pfx").agg(*[F.sum(one[s]).cast("long").alias(f"{s}n") for s in "pr"], *sums)
+        rows = level_of(depth)
+        return rows if parents is None else rows.withColumn("parent", F.shiftrightunsigned("pfx", bits)).join(parents.select(F.col("pfx").alias("parent")), "parent", "left_semi").drop("parent")
 
     def keys(side: str, depth: int, rows: DataFrame) -> DataFrame:
-        return near[side].withColumn("pfx", prefix(F.col("k"), depth)).join(rows.select("pfx"), "pfx", "left_semi")
+        return at(near.where(F.col("side") == side), depth).select("pfx", "k").join(rows.select("pfx"), "pfx", "left_semi")
 
-    spark, depth, trips, sent, received, found = primary.sparkSession, 0, 0, 0, 0, []
+    spark, depth, trips, sent, received, found, expand, named = primary.sparkSession, 0, 0, 0, 0, [], None, 0
     change = lambda op, rows: found.append(rows.select(F.lit(op).alias("op"), "k"))
-    front = written(differing(nodes(0)), "front")
+    # By how much the replica is behind: of leaves alone, and of more than a leaf's keys only the sign.
+    behind = F.greatest(F.least(F.col("rn") - F.col("pn"), F.lit(LEAF + 1)), F.lit(-LEAF - 1))
     while True:
-        front = classified(front, depth)
-        # By how much the replica is behind: of leaves alone, and of more than a leaf's keys only the sign.
-        behind = F.greatest(F.least(F.col("rn") - F.col("pn"), F.lit(LEAF + 1)), F.lit(-LEAF - 1))
-        counts = front.groupBy("action", F.when(F.col("action") == "leaf", behind).otherwise(0).alias("behind")).agg(F.count("*").alias("n"), F.sum("pn").alias("pn"))
+        front = classified(nodes(depth, expand), depth)
+        front = written(front.withColumn("action", F.when(_differs(), F.col("action")).otherwise("equal")), "nodes")
+        said = F.sum(F.when(F.col("pn") > 0, wire.varint_size(F.col("pn"))).otherwise(0)).alias("said")
+        counts = front.groupBy("action", F.when(F.col("action") == "leaf", behind).otherwise(0).alias("behind")).agg(F.count("*").alias("n"), F.sum("pn").alias("pn"), F.count_if(F.col("pn") > 0).alias("held"), said)
         told: dict[str, list] = {}
         for r in counts.collect():
             told.setdefault(r["action"], []).append(r)
+        if named:  # what the expansion that led here has cost: all children are named, and those that hold keys answer with a digest
+            held = sum(r["held"] for rows in told.values() for r in rows)
+            sent, received = sent + named * network_size(depth), received + sum(r["said"] for rows in told.values() for r in rows) + 32 * held + named - held
+        told.pop("equal", None)
         if not told:
             break
         size = network_size(depth)
@@ -243,11 +281,11 @@ def reconcile(primary: DataFrame, replica: DataFrame, bits: int = 2) -> Reconcil
         if "fetch" in told:
             sent, received = sent + told["fetch"][0]["n"] * size, received + told["fetch"][0]["pn"] * 32
             change("add", keys("p", depth, front.where("action = 'fetch'")))
-        failed = None
+        failed, n = None, sum(r["n"] for r in told.get("expand", ()))
         if "leaf" in told:
             leaves = front.where("action = 'leaf'")
             sent += sum(r["n"] for r in told["leaf"] if r["behind"] < 0) * (size + 32)
-            done, there = [], {r["behind"] for r in told["leaf"]}
+            done, there, peels = [], {r["behind"] for r in told["leaf"]}, 0
             for side, other, op in (("p", "r", "add"), ("r", "p", "remove")):
                 for count in range(1, LEAF + 1):
                     if (-count if side == "p" else count) not in there:
@@ -256,7 +294,9 @@ def reconcile(primary: DataFrame, replica: DataFrame, bits: int = 2) -> Reconcil
                     got = written(peeled(keys(side, depth, gap.withColumnRenamed("gap", "pfx")), gap, count), "peels")
                     change(op, got.select(F.explode(F.array(*[f"k{i + 1}" for i in range(count)])).alias("k")))
                     done.append(got.select("pfx"))
-                    received += got.count() * count * 32 if side == "p" else 0
+                    n_got = got.count()
+                    peels += n_got
+                    received += n_got * count * 32 if side == "p" else 0
             failed = leaves
             for d in done:
                 failed = failed.join(d, "pfx", "left_anti")
@@ -264,25 +304,18 @@ def reconcile(primary: DataFrame, replica: DataFrame, bits: int = 2) -> Reconcil
                 failed = written(failed, "failed")
                 mine, theirs = keys("p", depth, failed), keys("r", depth, failed)
                 last = written(difference(mine.select("k"), theirs.select("k"), 0), "exchange")
-                n = failed.count()
-                sent += n * size + 32 * theirs.count()
+                sent += failed.count() * size + 32 * theirs.count()
                 received += 32 * last.count()
                 found.append(last)
                 break
-        expand = front.where("action = 'expand'")
-        expand = expand if failed is None else expand.unionByName(failed)
-        if failed is None and "expand" not in told:
-            break
-        expand = written(expand.select("pfx"), "expanded")
-        n = expand.count()
+            n += sum(r["n"] for r in told["leaf"]) - peels
         if not n:
             break
-        depth += bits
-        children = nodes(depth).withColumn("parent", F.shiftrightunsigned("pfx", bits))
-        children = written(children.join(expand.select(F.col("pfx").alias("parent")), "parent", "left_semi").drop("parent"), "children")
-        said = expansion_bytes(expand, children, depth, bits).first()
-        sent, received = sent + said["bytes_sent"], received + said["bytes_received"]
-        front = differing(children)
+        expand = front.where("action = 'expand'")
+        expand = (expand if failed is None else expand.unionByName(failed)).select("pfx")
+        if depth >= base:
+            near = written(at(near, depth).join(expand, "pfx", "left_semi").drop("pfx"), "near")
+        named, depth = n << bits, depth + bits
     none = spark.createDataFrame([], "op string, k string")
     changes = written(reduce(DataFrame.unionAll, found, none), "changes")
     counts = {r["op"]: r["count"] for r in changes.groupBy("op").count().collect()}
