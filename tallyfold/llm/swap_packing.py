@@ -7,8 +7,9 @@ so the search ends; it goes on until the sequence is empty or no exchange with a
 need are left, or when a turn of all sequences has emptied none. Which lengths two sequences can exchange is read off bitsets: bit x of one tells that a sequence has a document, or two together, of x tokens. A sequence has fewer than
 about ``sqrt(2 * capacity)`` distinct lengths, however many documents it holds, so an exchange takes a bounded number of steps.
 
-What is wasted is then about one sequence a group. So the ``reopened`` emptiest sequences of each group take part in a next round, in new groups, until one group is left: each round
-has a small share of the rows of the one before. No group, and nothing in the driver, grows with the table.
+What is wasted is then about one sequence a group. So the ``reopened`` emptiest sequences of each group, with half of its rows at most, take part in a next round, in new groups, until one
+group is left. Where documents are so short that so many rows fill few sequences, groups are larger, about ``group_bins`` sequences each: so a group has ``group_bins * capacity`` rows
+at most (a million, of one token each). No group, and nothing in the driver, grows with the table.
 
 Defined results: a null text is empty; an empty one has the end token alone, so every row has a piece; rows with equal ids are packed each on their own; null ids are
 kept. An empty table gives no pieces. Only the named columns are read, so clashing names of others don't matter.
@@ -170,7 +171,11 @@ def _group(rows: pd.DataFrame, number: int, capacity: int, reopened: int) -> pd.
     sequence, offset, open_ = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64), np.zeros(len(rows), bool)
     bins = packed(lengths[part].tolist(), capacity)
     sequence[whole] = np.arange(len(whole)) + len(bins)
-    emptiest = {id(b) for b in sorted(bins, key=lambda b: b.fill)[:reopened] if b.fill < capacity}
+    emptiest, held = set(), 0
+    for b in sorted(bins, key=lambda b: b.fill)[:reopened]:
+        held += sum(map(len, b.docs.values()))
+        if b.fill < capacity and 2 * held <= len(rows):
+            emptiest.add(id(b))
     for k, b in enumerate(bins):
         at = part[[doc for _, held in sorted(b.docs.items()) for doc in held]]
         sequence[at], open_[at] = k, id(b) in emptiest
@@ -185,19 +190,17 @@ def _round(pieces: DataFrame, number: int, groups: int, capacity: int, reopened:
     return dealt.groupBy("g").applyInPandas(lambda rows: _group(rows, number, capacity, reopened), PLACED)
 
 
-def pack(docs: DataFrame, tokenizer: str, doc: str = "doc_id", text: str = "text", capacity: int = 4096, end: int = 1, group_rows: int = 4096, reopened: int = 8) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, doc: str = "doc_id", text: str = "text", capacity: int = 4096, end: int = 1, group_rows: int = 4096, group_bins: int = 256, reopened: int = 8) -> DataFrame:
     """One row for each piece: the id column, piece, start, length, ids_crc32, sequence_id and offset."""
-    if group_rows < 16 * reopened:
-        raise ValueError("a group has to be much larger than what it reopens")
     left = written(packing.pieces(docs, doc, text, tokenizer, capacity, end).select("doc", "row", "start", "length", "ids_crc32"), "pieces")
-    count, done, number = left.count(), [], 0
+    done, number = [], 0
     while True:
-        groups = max(1, -(-count // group_rows))
+        size = left.agg(F.count("*").alias("rows"), F.coalesce(F.sum("length"), F.lit(0)).alias("tokens")).first()
+        groups = max(1, min(-(-size["rows"] // group_rows), -(-size["tokens"] // (group_bins * capacity))))
         placed = written(_round(left, number, groups, capacity, reopened if groups > 1 else 0), "placed")
         done.append(placed)
         if groups == 1:
             break
         left, number = placed.where("open").select("doc", "row", "start", "length", "ids_crc32"), number + 1
-        count = left.count()
     piece = F.call_function("div", F.col("start"), F.lit(capacity)).cast("int").alias("piece")
     return reunited(done).where("NOT open").select(F.col("doc").alias(doc), piece, "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -150,7 +150,7 @@ def _gains(giver, taker):
     return ways + [sum(p) - y for p in pairs(giver) for y in taker] + [x - sum(p) for x in giver for p in pairs(taker)]
 
 
-@pytest.mark.parametrize(("where", "settings"), [(SMALL, {}), (SMALL, {"group_rows": 32, "reopened": 2}), ("odd", {"group_rows": 16, "reopened": 1}), ("odd", {"capacity": 64})])
+@pytest.mark.parametrize(("where", "settings"), [(SMALL, {}), (SMALL, {"group_rows": 32, "group_bins": 4, "reopened": 2}), ("odd", {"capacity": 64, "group_rows": 4, "group_bins": 2})])
 def test_packing_is_a_round_trip(spark, odd, where, settings):
     folder, capacity = odd if where == "odd" else where, settings.get("capacity", 4096)
     docs = spark.read.parquet(f"{folder}/documents.parquet")
@@ -173,11 +173,22 @@ def test_packing_is_a_round_trip(spark, odd, where, settings):
             at += length
         assert at <= capacity
     needed = -(-sum(r["length"] for r in got) // capacity)
-    assert needed <= len(sequences) <= needed * 1.03 + 2
+    assert needed <= len(sequences) <= needed * 1.05 + 2
     if capacity == 4096 and not settings:
         assert len(sequences) <= needed + 1
 
 
+def test_packing_of_very_short_texts(spark):
+    """So many rows fill few sequences that groups by rows alone would leave every sequence open, round after round."""
+    docs = spark.createDataFrame([(i, "a" * (i % 3)) for i in range(3000)], "doc_id long, text string")
+    got = swap_packing.pack(docs, queries.tokenizer_path(), capacity=128, group_rows=64, group_bins=3, reopened=4).collect()
+    fill = {}
+    for r in got:
+        fill[r["sequence_id"]] = fill.get(r["sequence_id"], 0) + r["length"]
+    needed = -(-sum(fill.values()) // 128)
+    assert len(got) == 3000 and max(fill.values()) <= 128 and needed <= len(fill) <= needed + 2
+
+
 def test_packing_of_nothing(spark, empty):
     assert queries.op12_swap_packing(spark, empty).count() == 0
 
