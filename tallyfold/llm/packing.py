@@ -32,7 +32,7 @@ PIECES = "doc long, row long, start long, length long, ids_crc32 long, doc_token
 REMEMBERED, LONGEST = 24 << 20, 40
 OBJECTS = 180
 #: Bytes of text cut at once; the arrays made for them take some thirty times as much.
-SLICE = 3 << 20
+SLICE = 1 << 20
 #: Kinds of bytes. Runs of letters (A-Z, a-z and the two bytes of Latin-1 letters), single digits and runs of other marks are pre-tokens by themselves;
 #: what lies between white space and holds anything else (an apostrophe may begin a contraction, < a special token) is encoded as a whole.
 SPACE, LETTER, DIGIT, MARK, OTHER = range(5)
