@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tallyfold.llm import bytecut
 
 RESULT = "n_words long, runs array<struct<start:long, length:long, period:long>>, collapsed string"
-#: Bytes of text whose trees are made at once; the arrays made for them take some sixty times as much. How many leaves are listed at once.
+#: Bytes of text whose trees are made at once; the arrays made for them take 40 times as much for prose and 160 for two words at random. How many leaves are listed at once.
 SLICE, LISTED = 1 << 20, 1 << 20
 
 
