@@ -29,7 +29,7 @@ from tallyfold.plans.recovery import written
 
 PIECES = "doc long, row long, start long, length long, ids_crc32 long, doc_tokens long"
 #: What a task remembers of pre-tokens and their ids, in bytes with the objects' own, in each of two generations; and the longest pre-token remembered.
-REMEMBERED, LONGEST = 24 << 20, 40
+REMEMBERED, LONGEST = 12 << 20, 40
 OBJECTS = 180
 #: Bytes of text cut at once; the arrays made for them take some thirty times as much.
 SLICE = 1 << 20
@@ -155,6 +155,7 @@ def pieces(docs: DataFrame, doc: str, text: str, tokenizer: str, capacity: int,
             names = ["doc", "row", "start", "length", "ids_crc32", "doc_tokens"]
             arrays = [pa.array(c, pa.int64()) for c in out[:6]] + ([pa.array(out[6], pa.list_(pa.int64()))] if with_ids else [])
             yield pa.RecordBatch.from_arrays(arrays, names + ["ids"] * with_ids)
+        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
     rows = docs.select(F.col(doc).cast("long").alias("doc"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
     return rows.mapInArrow(cut, PIECES + ", ids array<long>" * with_ids)
