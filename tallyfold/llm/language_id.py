@@ -26,6 +26,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyfold.llm import bytecut
+
 UNDETERMINED = "und"
 
 
@@ -117,5 +119,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
         judge = Judge(LanguageModel(shared.value, *settings))
         for texts in batches:
             yield pd.DataFrame([judge(t) for t in texts], columns=["lang_pred", "score", "margin", "rejected"])
+        del judge
+        bytecut.give_back()
 
     return docs.withColumn("language", judged(F.col(text)))

@@ -58,20 +58,21 @@ class Settings:
         return int(self.bits * p + 5 * (self.bits * p * (1 - p)) ** 0.5)
 
 
+def shingles(texts: pa.Array, s: Settings) -> Iterator[np.ndarray]:
+    """The set of each text, as sorted hashes."""
+    return (np.unique(bytecut.runs(words, s.shingle)) for words in bytecut.hashed(texts))
+
+
 class Signer:
     """Signatures of ``length`` coordinates for one task: the ranking of the ring's places and the bands' multipliers."""
 
     def __init__(self, s: Settings, length: int) -> None:
         draw = np.random.default_rng(s.seed)
-        ranks = draw.permutation(1 << RING_BITS).astype(np.uint32)
+        ranks = draw.permutation(np.arange(1 << RING_BITS, dtype=np.uint32))
         self.ranks = np.lib.stride_tricks.sliding_window_view(np.concatenate([ranks, ranks[:length]]), length)
         self.s, self.length, self.times = s, length, draw.integers(1, 1 << 63, (s.bands, s.rows), np.uint64) * np.uint64(2) + np.uint64(1)
         self.spread = np.uint64(int(draw.integers(1, 1 << 63)) * 2 + 1)
 
-    def shingles(self, texts: pa.Array) -> Iterator[np.ndarray]:
-        """The set of each text, as sorted hashes."""
-        return (np.unique(bytecut.runs(words, self.s.shingle)) for words in bytecut.hashed(texts))
-
     def signature(self, shingles: np.ndarray) -> np.ndarray:
         places = (shingles * self.spread) >> np.uint64(64 - RING_BITS)
         out = np.full(self.length, 0xFFFFFFFF, np.uint32)
@@ -99,7 +100,7 @@ def sign(docs: DataFrame, doc: str, text: str, s: Settings) -> DataFrame:
         signer = Signer(s, s.banded)
         for batch in batches:
             n, cls, bands = [], [], []
-            for found in signer.shingles(batch.column("text")):
+            for found in shingles(batch.column("text"), s):
                 n.append(len(found))
                 sig = signer.signature(found) if len(found) else None
                 cls.append(None if sig is None else xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63))
@@ -108,6 +109,7 @@ def sign(docs: DataFrame, doc: str, text: str, s: Settings) -> DataFrame:
                 [batch.column("doc"), batch.column("th"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), _lists(bands)],
                 ["doc", "th", "n", "cls", "bands"],
             )
+        bytecut.give_back()
 
     rows = docs.select(F.col(doc).cast("long").alias("doc"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
     return rows.mapInArrow(signed, SIGNED)
@@ -120,10 +122,11 @@ def sketches(texts: DataFrame, s: Settings) -> DataFrame:
         signer = Signer(s, max(1, s.bits))
         for batch in batches:
             n, bits = [], []
-            for found in signer.shingles(batch.column("text")):
+            for found in shingles(batch.column("text"), s):
                 n.append(len(found))
                 bits.append(signer.bits(signer.signature(found)) if s.bits else np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(n, pa.int64()), _lists(bits)], ["cls", "n", "bits"])
+        bytecut.give_back()
 
     return texts.select("cls", "text").mapInArrow(sketched, "cls long, n long, bits array<long>")
 
@@ -132,18 +135,19 @@ def verified(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     """Those of ``pairs`` (a, b: classes) whose full sets are similar enough; texts: (cls, text)."""
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signer, before = Signer(s, s.banded), (None, np.empty(0, np.uint64))
+        before = None, np.empty(0, np.uint64)
         for batch in batches:
             out, ta = [], batch.column("ta")
-            pairs = zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), signer.shingles(batch.column("tb")), strict=True)
+            pairs = zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), shingles(batch.column("tb"), s), strict=True)
             for i, (a, b, y) in enumerate(pairs):
                 if before[0] != a:  # the pairs of a centre come one after the other
-                    before = a, next(signer.shingles(ta.slice(i, 1)))
+                    before = a, next(shingles(ta.slice(i, 1), s))
                 x = before[1]
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 if 100 * both >= s.percent * (len(x) + len(y) - both):
                     out.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+        bytecut.give_back()
 
     at = lambda c: texts.select(F.col("cls").alias(c), F.col("text").alias(f"t{c}"))
     rows = pairs.join(at("b"), "b").join(at("a"), "a").select("a", "b", "ta", "tb")

@@ -155,7 +155,8 @@ def pieces(docs: DataFrame, doc: str, text: str, tokenizer: str, capacity: int,
             names = ["doc", "row", "start", "length", "ids_crc32", "doc_tokens"]
             arrays = [pa.array(c, pa.int64()) for c in out[:6]] + ([pa.array(out[6], pa.list_(pa.int64()))] if with_ids else [])
             yield pa.RecordBatch.from_arrays(arrays, names + ["ids"] * with_ids)
-        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
+        del encode
+        bytecut.give_back()
 
     rows = docs.select(F.col(doc).cast("long").alias("doc"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
     return rows.mapInArrow(cut, PIECES + ", ids array<long>" * with_ids)
