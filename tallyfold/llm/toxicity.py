@@ -5,9 +5,8 @@ distinct sentences', 1 - prod(1 - p). Weights and bias are trained from document
 bounded sample of labelled rows, whole texts of them. Features that occur evenly in documents of both labels are left out beforehand (a log-likelihood ratio below ``telling``).
 Afterwards the sentences with a chance of at least one half are the offending ones.
 
-However many harmless sentences a text has, they don't add up: equal sentences count once, and of the sentences whose chance is below a floor only the likeliest counts. The floor is
-learned too, and rises with the number of distinct sentences: of as many sentences of harmless training documents, one lies above it in one of twenty cases. Where the training
-documents have too few sentences to tell, only offending sentences lie above it.
+However many harmless sentences a text has, they don't add up: equal sentences count once, and of the sentences whose chance is below ``FLOOR`` only the likeliest counts. Training
+ends with this same noisy-or, after a start with all sentences. So another sentence never lowers a score. Where a text is toxic without a sentence that offends by itself, its likeliest sentence is named.
 
 Defined results: null and empty texts have no sentences, so their score is 0 and no sentence offends. Without labelled rows, or
 with labels of one kind only, the model is that share of labels: its score, for any text with words, is that of its prior. Rows of
@@ -32,22 +31,17 @@ SENTENCE_END = re.compile(r"[.!?\n]+")
 WORD = re.compile(r"\w+")
 #: Lengths of the word beginnings that count as features; every word with a telling feature is found by its first few letters.
 STEMS = (3, 4, 5, 6)
-#: How often a harmless sentence of a text may lie above the floor.
-CHANCE = 0.05
+#: Sentences of a lower chance don't add up. Chosen by cross-validation on learning rows.
+FLOOR = 0.2
 RESULT = "score double, predicted int, sentences int, offending array<int>"
 
 
 @dataclass(frozen=True)
 class Model:
-    """One weight for each telling feature, the bias, and the chances below which sentences don't add up in texts of up to 1, 2, 4 and so on distinct ones."""
+    """One weight for each telling feature, and the bias."""
 
     weights: dict[str, float]
     bias: float
-    floors: tuple[float, ...] = ()
-
-    def floor(self, n: int) -> float:
-        step = (n - 1).bit_length()
-        return self.floors[step] if step < len(self.floors) else 0.5
 
 
 def sentences(text: str | None) -> list[str]:
@@ -88,6 +82,13 @@ class Bags:
         z = bias + np.bincount(self.sentence, weights[self.feature], len(self.doc))
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
+    def counting(self, p: np.ndarray, floor: float) -> np.ndarray:
+        """Which sentences the noisy-or counts: those whose chance reaches the floor, and each document's likeliest (the first of equal ones)."""
+        order = np.lexsort((-p, self.doc))
+        count = p >= floor
+        count[order[np.flatnonzero(np.diff(self.doc[order], prepend=-1))]] = True
+        return count
+
 
 def bags(texts: list[str], number: dict[str, int]) -> Bags:
     feature, sentence, doc = [], [], []
@@ -100,9 +101,10 @@ def bags(texts: list[str], number: dict[str, int]) -> Bags:
     return Bags(*(np.array(x, np.int64) for x in (feature, sentence, doc)), len(texts))
 
 
-def loss_and_slopes(b: Bags, y: np.ndarray, weights: np.ndarray, bias: float, decay: float, heavier: float) -> tuple[float, np.ndarray, float]:
+def loss_and_slopes(b: Bags, y: np.ndarray, weights: np.ndarray, bias: float, decay: float, heavier: float, floor: float = 0.0) -> tuple[float, np.ndarray, float]:
     """The noisy-or's log loss, toxic documents counting ``heavier`` times, with a penalty on the weights; its slopes by weight and by bias."""
     p = b.chances(weights, bias)
+    p = np.where(b.counting(p, floor), p, 0.0) if floor else p
     none = np.exp(np.clip(np.bincount(b.doc, np.log1p(-np.minimum(p, 1 - 1e-12)), b.docs), -60, 0))
     some = np.maximum(1 - none, 1e-9)
     loss = -(heavier * y * np.log(some) + (1 - y) * np.log(none)).sum() + decay * b.docs * (weights**2).sum() / 2
@@ -111,7 +113,7 @@ def loss_and_slopes(b: Bags, y: np.ndarray, weights: np.ndarray, bias: float, de
 
 
 def train(texts: list[str], labels: list[int], telling: float = 8.0, least: int = 3, rounds: int = 1000, rate: float = 0.5, decay: float = 5e-5, settled: float = 1e-3) -> Model:
-    """Full-batch AdaGrad, until 30 rounds lower the loss by less than the share ``settled``."""
+    """Full-batch AdaGrad, until 30 rounds lower the loss by less than the share ``settled``: with all sentences first, then with those that count."""
     y = np.array(labels, np.float64)
     if not len(y) or y.min() == y.max():
         return Model({}, -20.0 if not len(y) or not y.max() else 20.0)
@@ -119,19 +121,18 @@ def train(texts: list[str], labels: list[int], telling: float = 8.0, least: int
     b = bags(texts, {f: i for i, f in enumerate(names)})
     share = y.mean()
     bias = -math.log(1 / (1 - (1 - share) ** (len(y) / max(1, len(b.doc)))) - 1)  # so that the noisy-or of a mean document is the share
-    weights, seen, seen_bias, losses = np.zeros(len(names)), np.full(len(names), 1e-8), 1e-8, []
-    for _ in range(rounds):
-        loss, slope, slope_bias = loss_and_slopes(b, y, weights, bias, decay, max(1.0, (1 / share - 1) ** 0.5))
-        losses.append(loss)
-        if len(losses) > 50 and losses[-31] - loss < settled * abs(loss):
-            break
-        seen, seen_bias = seen + slope**2, seen_bias + slope_bias**2
-        weights = weights - rate * slope / np.sqrt(seen)
-        bias -= rate * slope_bias / seen_bias**0.5
-    harmless = b.chances(weights, bias)[y[b.doc] == 0]
-    sizes = [1 << i for i in range(64) if (1 << i) <= CHANCE * len(harmless)]
-    floors = tuple(min(0.5, float(np.quantile(harmless, 1 - CHANCE / n))) for n in sizes)
-    return Model({f: float(w) for f, w in zip(names, weights, strict=True) if w}, float(bias), floors)
+    weights = np.zeros(len(names))
+    for floor in (0.0, FLOOR):
+        seen, seen_bias, losses = np.full(len(names), 1e-8), 1e-8, []
+        for _ in range(rounds):
+            loss, slope, slope_bias = loss_and_slopes(b, y, weights, bias, decay, max(1.0, (1 / share - 1) ** 0.5), floor)
+            losses.append(loss)
+            if len(losses) > 50 and losses[-31] - loss < settled * abs(loss):
+                break
+            seen, seen_bias = seen + slope**2, seen_bias + slope_bias**2
+            weights = weights - rate * slope / np.sqrt(seen)
+            bias -= rate * slope_bias / seen_bias**0.5
+    return Model({f: float(w) for f, w in zip(names, weights, strict=True) if w}, float(bias))
 
 
 def pick(labels: DataFrame, label: str, order: Column, sample_rows: int = 6000) -> DataFrame:
@@ -176,21 +177,22 @@ class Scorer:
         else:
             chances[found[0]] = self.neutral
         clean, below, offending = 1.0, 0.0, []
-        floor = self.model.floor(len(set(found)))
         for p in sorted(chances.values()):  # in order, so that the same sentences have the same score
-            if p < floor:
+            if p < FLOOR:
                 below = p
             else:
                 clean *= 1 - p
         if hot or self.neutral >= 0.5:
             offending = [k for k, s in enumerate(found) if chances.get(s, self.neutral) >= 0.5]
         score = min(1.0, max(0.0, 1 - clean * (1 - below)))
+        if score >= limit and not offending:
+            offending = [max(range(len(found)), key=lambda k: chances.get(found[k], self.neutral))]
         return score, int(score >= limit), len(found), offending
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", limit: float = 0.5) -> DataFrame:
     """``docs`` with one struct column ``toxicity``: score, predicted, how many sentences, and the offending ones by number."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.floors))
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
 
     @F.pandas_udf(RESULT)
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -273,3 +273,22 @@ def test_toxicity_finds_sentences(spark, docs, empty):
     assert [found[k].predicted for k in (1, 2, 3, 4)] == [1, 0, 0, 0] and found[1].offending == [1] and found[3].score == 0
     assert toxicity.score(docs, toxicity.train([], [])).count() == len(TEXTS) + 2
     assert toxicity.score(empty, model).count() == 0
+
+
+def test_more_sentences_never_lower_a_score():
+    """Long texts too; and every toxic text names a sentence."""
+    draw = random.Random(5)
+    texts = [". ".join(" ".join(f"w{draw.randrange(60)}" for _ in range(6)) + (" foulword" if i % 3 == 0 and k == 1 else "") for k in range(1 + i % 9)) for i in range(300)]
+    judge = toxicity.Scorer(toxicity.train(texts, [int(i % 3 == 0) for i in range(300)]))
+    harmless = [". ".join(f"w{i % 60} w{(i * 7) % 60} plain{i}" for i in range(n)) for n in (1, 30, 3000)]
+    for text in texts:
+        score, toxic, _, offending = judge(text, 0.5)
+        assert bool(toxic) == bool(offending)
+        assert all(judge(f"{text}. {more}", 0.5)[0] >= score - 1e-12 for more in harmless)
+    assert not any(judge(more, 0.5)[1] for more in harmless)
+
+
+def test_likeliest_sentence_is_named_where_none_offends_alone():
+    judge = toxicity.Scorer(toxicity.Model({"foul": 4.6}, -5.0))
+    score, toxic, n, offending = judge("one foul. w. two foul", 0.5)
+    assert toxic and n == 3 and offending == [0] and 0.5 <= score < 1
