@@ -25,6 +25,17 @@ def quarters(h: Column) -> list[Column]:
     return [F.conv(F.substring(whole, 16 * i + 1, 16), 16, -10).cast("bigint").alias(f"q{i}") for i in range(4)]
 
 
+def packed(h: Column) -> Column:
+    """A key of 64 lower-case hex digits as 32 bytes, for shuffles. Any other text keeps its bytes and gets 33 more, so that it can't be taken for such a key; null stays null."""
+    raw = F.unhex(h)
+    return F.when((F.length(h) == 64) & (F.lower(h) == h) & raw.isNotNull(), raw).otherwise(F.concat(h.cast("binary"), F.lit(bytes(33))))
+
+
+def unpacked(b: Column) -> Column:
+    """The key of :func:`packed`."""
+    return F.when(F.octet_length(b) == 32, F.lower(F.hex(b))).otherwise(F.substring(b, F.lit(1), F.octet_length(b) - 33).cast("string"))
+
+
 def swapped(x: Column) -> Column:
     """A number of 32 bits with its four bytes in reverse order."""
     part = lambda shifted, mask: shifted.bitwiseAND(F.lit(mask))

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfold.functions import lanes as L
-from tallyfold.operators.bags import ranked, running_digest
+from tallyfold.operators.bags import bag_digest, ranked, running_digest
+from tallyfold.plans import sieve
 from tallyfold.plans.recovery import written
 
 # Fixed value.
@@ -24,8 +25,11 @@ def effective_operations(log: DataFrame) -> DataFrame:
     """The log without deletes of keys that aren't there at that time: per key, a running count reflected at zero.
 
     A key with any share of the log is walked by many tasks: the log is dealt by ranges of (k, pos), each part is walked by itself, and of the few keys that lie in several parts, at most one on each
-    border, a part's sum and least running sum say where the next part begins."""
-    dealt = log.select("pos", "is_add", "k").repartitionByRange("k", "pos").withColumn("part", F.spark_partition_id())
+    border, a part's sum and least running sum say where the next part begins. Only keys with deletes are walked: the inserts of any other stay as they are, and a
+    bitmap (``plans/sieve.py``) tells nearly all of them apart before the shuffle."""
+    rows, k = log.select("pos", "is_add", "k"), [F.col("k")]
+    log, never = sieve.split(rows, k, rows.where(~F.col("is_add")).select("k"), k, always=~F.coalesce(F.col("is_add"), F.lit(False)))
+    dealt = log.repartitionByRange("k", "pos").withColumn("part", F.spark_partition_id())
     dealt = written(dealt.withColumn("sign", sign()), "ranges")
     ends = dealt.groupBy("part").agg(F.min("k").alias("least"), F.max("k").alias("most"))  # one row a part
     edges = ends.select(F.explode(F.array_distinct(F.array("least", "most"))).alias("k")).groupBy("k").count().where("count > 1").select("k")
@@ -41,18 +45,20 @@ def effective_operations(log: DataFrame) -> DataFrame:
     zero = F.lit(0)
     begin = F.coalesce("begin", zero)
     held = begin + F.col("s") - F.col("sign") - F.least(zero, F.coalesce("least", zero), begin + F.coalesce("low", zero))
-    return rows.where(F.col("is_add") | (held > 0)).select("pos", "is_add", "k")
+    return rows.where(F.col("is_add") | (held > 0)).select("pos", "is_add", "k").unionAll(never)
 
 
 def last_operation_set(log: DataFrame) -> DataFrame:
     """Keys whose last operation is an insert."""
-    return log.groupBy("k").agg(F.max_by("is_add", "pos").alias("there")).where("there").select("k")
+    rows = log.select(L.packed(F.col("k")).alias("k"), "is_add", "pos")
+    return rows.groupBy("k").agg(F.max_by("is_add", "pos").alias("there")).where("there").select(L.unpacked(F.col("k")).alias("k"))
 
 
 def apply_tail(members: DataFrame, tail: DataFrame) -> DataFrame:
     """The set after a tail: the last operation of a key decides; a key that the tail doesn't touch stays."""
-    last = tail.groupBy("k").agg(F.max_by("is_add", "pos").alias("is_add"))
-    return members.join(last, "k", "left_anti").select("k").unionAll(last.where("is_add").select("k"))
+    last, k = tail.groupBy("k").agg(F.max_by("is_add", "pos").alias("is_add")), [F.col("k")]
+    some, never = sieve.split(members.select("k"), k, last, k)
+    return never.unionAll(some.join(last, "k", "left_anti").select("k")).unionAll(last.where("is_add").select("k"))
 
 
 def bulk_delete(members: DataFrame, keys: DataFrame) -> DataFrame:
@@ -72,10 +78,28 @@ def positions(log: DataFrame, base: DataFrame | None = None) -> DataFrame:
 
 def digest_index(log: DataFrame, retained: int = RETAINED, base: DataFrame | None = None) -> DataFrame:
     """(digest lanes, position): latest position of each digest among the last ``retained`` operations."""
-    at = positions(log, base)
-    last = at.agg(F.max("position").alias("last"))
-    recent = at.join(F.broadcast(last)).where(F.col("position") >= F.col("last") - retained)  # one row
-    return recent.groupBy(*L.NAMES).agg(F.max("position").alias("position"))
+    return recent(log, retained, base).groupBy(*L.NAMES).agg(F.max("position").alias("position"))
+
+
+def recent(log: DataFrame, retained: int = RETAINED, base: DataFrame | None = None, also: DataFrame | None = None) -> DataFrame:
+    """(position, l0..l7): those of :func:`positions` from ``retained`` before the last one on, the last one itself included, and the one that ``also`` (one row, ``asked``) names, if the log has it. What comes before is
+    folded, so nothing but the operations after it is sorted."""
+    last = log.agg(F.coalesce(F.max("pos") + 1, F.lit(0)).alias("last"))
+    ends = last.select("last", F.greatest(F.col("last") - max(retained, 1), F.lit(0)).alias("cut"))
+    ends = written(ends.withColumn("asked", F.lit(0).cast("long")) if also is None else ends.crossJoin(F.broadcast(also.select("asked"))), "ends")  # one row
+    rows = log.select("pos", "is_add", "k").crossJoin(F.broadcast(ends))
+    zero = [F.lit(0).cast("long").alias(f"b_{n}") for n in L.NAMES]
+    more = ends.select("asked", "cut", "last", *zero) if base is None else ends.crossJoin(base.select(*[F.col(n).alias(f"b_{n}") for n in L.NAMES]))
+
+    def at(which: str) -> DataFrame:
+        """The digest at a position of ``ends``."""
+        own = bag_digest(rows.where(F.col("pos") < F.col(which)), sign=sign()).crossJoin(more)
+        return own.where((F.col(which) > 0) & (F.col(which) <= F.col("last"))).select(F.col(which).cast("long").alias("position"), *L.added("", "b_"))
+
+    before = written(bag_digest(rows.where("pos < cut"), sign=sign()).crossJoin(more).select("cut", *L.added("", "b_")), "before")  # one row
+    late = positions(rows.where("pos >= cut").select("pos", "is_add", "k"), before).select("position", *L.NAMES)
+    found = late if retained < 1 else late.unionAll(before.where("cut > 0").select(F.col("cut").cast("long").alias("position"), *L.NAMES))
+    return found if also is None else found.unionAll(at("asked"))
 
 
 @dataclass(frozen=True)
@@ -91,14 +115,13 @@ class Node:
 
 def node(log: DataFrame, epoch: int = 0) -> Node:
     """A node from its log alone: deletes of absent keys are left out and positions counted anew."""
+    log = written(log.select("pos", "is_add", "k"), "log")  # read several times, and may be costly to make
     kept = ranked(effective_operations(log), ["pos"]).select(F.col("at").alias("pos"), "is_add", "k")
     return Node(kept, last_operation_set(log), None, epoch)
 
 
 def compact(n: Node, retained: int = RETAINED) -> Node:
     """The node with the last ``retained`` operations alone, positions counted from 0 anew, the digest before them carried as base, in the next epoch."""
-    from tallyfold.operators.bags import bag_digest
-
     cut = n.log.agg(F.greatest(F.max("pos") + 1 - retained, F.lit(0)).alias("cut"))  # one row
     rows = n.log.crossJoin(F.broadcast(cut))
     gone = bag_digest(rows.where("pos < cut"), sign=sign())

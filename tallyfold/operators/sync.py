@@ -26,7 +26,7 @@ def first_answer(*, primary: DataFrame, replica: DataFrame, primary_epoch: int =
     An equal digest needs no operations; then the replica's own position counts, if the epochs agree and the digest there is equal; then the
     latest of the last ``retained`` positions with that digest. Counted are operations, not keys. Empty logs have position 0 and the empty digest."""
     asked = replica.select("is_add", *L.lanes(F.col("k"))).agg(F.count("*").alias("asked"), *[c.alias(f"r_{n}") for c, n in zip(L.total(oplog.sign()), L.NAMES, strict=True)])
-    found = resolved(oplog.positions(primary), _zero(primary), asked, primary_epoch == replica_epoch, retained)
+    found = resolved(oplog.recent(primary, retained, also=asked), _zero(primary), asked, primary_epoch == replica_epoch, retained)
     counted = primary.crossJoin(F.broadcast(found)).where("pos >= start").agg(F.count_if("is_add").alias("adds"), F.count_if(~F.col("is_add")).alias("deletes"))
     root = oplog.effective_operations(primary).agg(F.coalesce(F.sum(oplog.sign()), F.lit(0)).alias("held"))
     epoch, n = F.lit(primary_epoch), F.col("adds") + F.col("deletes")
@@ -43,7 +43,7 @@ def _zero(like: DataFrame) -> DataFrame:
 
 
 def resolved(positions: DataFrame, base: DataFrame, asked: DataFrame, same_epoch: bool, retained: int) -> DataFrame:
-    """One row (asked, start): from which of the primary's ``positions`` (position, l0..) on a replica needs the operations; null if none fits. base: the digest at position 0; asked: one row, the
+    """One row (asked, start): from which of the primary's ``positions`` (position, l0.., of :func:`oplog.recent`) on a replica needs the operations; null if none fits. base: the digest at position 0; asked: one row, the
     replica's position and digest (asked, r_l0..)."""
     at = positions.select("position", *L.NAMES).unionAll(base.select(F.lit(0).cast("long").alias("position"), *L.NAMES))
     same = F.lit(True)
@@ -85,7 +85,7 @@ def synchronise(*, primary: oplog.Node, replica: oplog.Node, force_prefixes: boo
     held = bag_digest(replica.members).select(*[F.col(n).alias(f"r_{n}") for n in L.NAMES])
     asked = written(held.crossJoin(replica.log.agg(F.count("*").alias("asked"))), "asked")  # one row
     base = primary.base if primary.base is not None else _zero(primary.log)
-    row = resolved(oplog.positions(primary.log, primary.base), base, asked, primary.epoch == replica.epoch, retained).first()
+    row = resolved(oplog.recent(primary.log, retained, primary.base, asked), base, asked, primary.epoch == replica.epoch, retained).first()
     start = None if force_prefixes else row["start"]
     size = lambda c: primary.log.sparkSession.range(1).select(c.cast("long")).first()[0]
     sent = size(wire.request_bytes(F.lit(replica.epoch), F.lit(row["asked"])))
