@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tallyfold.functions import lanes as L
 from tallyfold.operators import trie
 from tallyfold.operators.bags import with_lanes
-from tallyfold.plans.recovery import numbered, removed, written
+from tallyfold.plans.recovery import COMPRESSION, numbered, removed, written
 
 LANES = ", ".join(f"{n} long" for n in L.NAMES)
 SCHEMAS = {"keys/base": "k string, upto int, bucket int", "keys/delta": "k string, is_add boolean, batch int, bucket int"}
@@ -102,9 +102,13 @@ class KeyStore:
         base = read("base", "upto", list(own), lambda u: F.col("upto") == u)
         return base, read("delta", "batch", [n for n in state.batches if n > min(own, default=0)], lambda u: F.col("batch") > u)
 
-    def members(self, buckets: list[int] | None = None) -> DataFrame:
-        """(k), of some buckets only if they are given."""
+    def members(self, buckets: list[int] | None = None, among: DataFrame | None = None) -> DataFrame:
+        """(k), of some buckets only if they are given, and only those in ``among`` (k, all different) if that is given: others are left out before a shuffle."""
         base, delta = self._parts("keys", self.state(), buckets)
+        if among is not None:
+            if not base.inputFiles() and not delta.inputFiles():
+                return base.select("k").limit(0)
+            base, delta = (rows.join(among.select("k"), "k", "left_semi") for rows in (base, delta))
         # Changes that had an effect alternate, so a key's sum says what has become of it.
         net = delta.groupBy("k").agg(F.sum(F.when(F.col("is_add"), 1).otherwise(-1)).alias("n"))
         return base.select("k").join(net.where("n < 0").select("k"), "k", "left_anti").unionAll(net.where("n > 0").select("k"))
@@ -141,8 +145,13 @@ class KeyStore:
 
     def _put(self, rows: DataFrame, path: str, order: str, large: bool = False) -> None:
         """large: a bucket may be more than a task should write."""
-        dealt = rows.repartitionByRange("bucket", order) if large else rows.repartition("bucket")
-        dealt.sortWithinPartitions("bucket", order).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/{path}")
+        if large:
+            dealt = rows.repartitionByRange("bucket", order).sortWithinPartitions("bucket", order)
+        elif order == "k":  # keys go as bytes
+            dealt = rows.withColumn("k", L.packed(F.col("k"))).repartition("bucket").withColumn("k", L.unpacked(F.col("k"))).sortWithinPartitions("bucket", order)
+        else:
+            dealt = rows.repartition("bucket").sortWithinPartitions("bucket", order)
+        dealt.write.mode("overwrite").option("compression", COMPRESSION).partitionBy("bucket").parquet(f"{self.folder}/{path}")
 
     def _summed(self, keys: DataFrame, sign: Column) -> DataFrame:
         """(bucket, depth, pfx, n, l0..) at all levels, of keys (k, bucket, ..): those of the deepest prefixes first, the others from them."""
@@ -166,9 +175,11 @@ class KeyStore:
         if number <= self.last():
             return False
         top = f"{self.folder}/keys/delta/batch={number}"
-        final = changes.groupBy("k").agg(F.min_by("is_add", F.struct(-F.col("pos"), F.col("is_add"))).alias("is_add"))
+        rows = changes.select(L.packed(F.col("k")).alias("k"), "pos", "is_add")
+        final = rows.groupBy("k").agg(F.min_by("is_add", F.struct(-F.col("pos"), F.col("is_add"))).alias("is_add")).select(L.unpacked(F.col("k")).alias("k"), "is_add")
         final = written(self._dealt(final), "changes")
-        held = self.members(self.touched(final)).join(final.select("k"), "k", "left_semi").withColumn("present", F.lit(True))
+        # Written, so that Spark knows how few they are, if they are few, and need not shuffle the changes.
+        held = written(self.members(self.touched(final), among=final).withColumn("present", F.lit(True)), "held")
         effective = final.join(held, "k", "left").where(F.col("is_add") != F.coalesce("present", F.lit(False))).select("k", "is_add", "bucket")
         self._put(effective, f"keys/delta/batch={number}", "k")
         own = self.spark.read.option("basePath", f"{self.folder}/keys/delta").schema(SCHEMAS["keys/delta"]).parquet(top)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.functions import lanes as L
 from tallyfold.operators import bags, oplog
-from tallyfold.plans.recovery import numbered, removed, written
+from tallyfold.plans.recovery import COMPRESSION, numbered, removed, written
 
 LANES = ", ".join(f"{n} long" for n in L.NAMES)
 OPS = "pos long, is_add boolean, k string, batch int"
@@ -126,7 +126,7 @@ class LogStore:
     def _put(self, ops: DataFrame, generation: int, number: int, epoch: int, first: int, base: list[int]) -> None:
         """ops: numbered from ``first`` on."""
         top = f"{self.folder}/generation={generation}"
-        put = lambda rows, what: rows.write.mode("overwrite").parquet(f"{top}/{what}/batch={number}")
+        put = lambda rows, what: rows.write.mode("overwrite").option("compression", COMPRESSION).parquet(f"{top}/{what}/batch={number}")
         put(ops.select("pos", "is_add", "k"), "ops")
         own = self.spark.read.schema("pos long, is_add boolean, k string").parquet(f"{top}/ops/batch={number}")
         before = [F.lit(x).cast("long").alias(f"b_{n}") for n, x in zip(L.NAMES, base, strict=True)]
