@@ -138,12 +138,13 @@ def _equal(left: str, right: str) -> Column:
 
 
 def peeled(keys: DataFrame, gap: DataFrame, count: int) -> DataFrame:
-    """(pfx, k1, .., k of ``count``), rising, of gaps (gap, n, d_l0..) that ``count`` (1 to 3) of their keys explain. keys: (pfx, k), a gap's keys having its prefix.
+    """(pfx, k1, .., k of ``count``), rising, of gaps (gap, n, d_l0..) that ``count`` (1 to 3) of their keys explain. keys: (pfx, k), a gap's keys having its prefix, with their lanes if they have been written.
     Pairs are looked for among at most ``PAIRS`` keys of a prefix and triples among ``TRIPLES``, so a prefix has a bounded number."""
     most = {1: None, 2: PAIRS, 3: TRIPLES}[count]
     gap = gap if most is None else gap.where(F.col("n") <= most)
     # Only keys of gaps are parsed, and written, so that the lanes are columns: inlined, they would outgrow a method.
-    own = written(with_lanes(keys.join(gap.select("gap"), F.col("pfx") == F.col("gap")).select("pfx", "k")), "peeled")
+    own = keys.join(gap.select("gap"), F.col("pfx") == F.col("gap")).drop("gap")
+    own = own if "l0" in keys.columns else written(with_lanes(own.select("pfx", "k")), "peeled")
     if count == 1:
         return own.join(gap, (F.col("pfx") == F.col("gap")) & _equal("", "d_")).groupBy("pfx").agg(F.min("k").alias("k1"))
     rest = lambda start, *less: [F.pmod(sum((-F.col(f"{x}{n}") for x in less), F.col(f"{start}{n}")), F.lit(m)).alias(f"w_{n}") for n, m in zip(L.NAMES, L.MODULI, strict=True)]
@@ -227,7 +228,7 @@ def reconcile(primary: DataFrame, replica: DataFrame, bits: int = 2) -> Reconcil
     whose counts differ by up to ``LEAF`` are peeled by the side that has more, and all others, as those that can't be peeled, are expanded by ``bits`` bits; at ``DEEPEST`` the keys themselves are exchanged.
 
     Both sides are summarised once, at a depth that follows from the number of keys; levels above are sums of that. The keys under prefixes that differ there are written once, of both sides in one table, with their
-    lanes; each level below groups them once and leaves only those under prefixes that go on being expanded. A level takes three jobs, and two more for each kind of leaf that it has.
+    lanes; each level below groups them once and leaves only those under prefixes that go on being expanded. A level takes three jobs, and two more for all its leaves.
     What reaches the driver is a few counts a level. Byte counts follow the messages: a leaf asks with its prefix (and
     a digest of 32 bytes where the primary peels), an expansion names all children, empty ones too, and gets their counts, with a digest unless empty."""
     if bits < 1 or DEEPEST % bits:
@@ -285,21 +286,23 @@ def reconcile(primary: DataFrame, replica: DataFrame, bits: int = 2) -> Reconcil
         if "leaf" in told:
             leaves = front.where("action = 'leaf'")
             sent += sum(r["n"] for r in told["leaf"] if r["behind"] < 0) * (size + 32)
-            done, there, peels = [], {r["behind"] for r in told["leaf"]}, 0
+            parts, there, peels = [], {r["behind"] for r in told["leaf"]}, 0
             for side, other, op in (("p", "r", "add"), ("r", "p", "remove")):
                 for count in range(1, LEAF + 1):
                     if (-count if side == "p" else count) not in there:
                         continue
                     gap = _lack(leaves.where(F.col(f"{side}n") == F.col(f"{other}n") + count), side, other)
-                    got = written(peeled(keys(side, depth, gap.withColumnRenamed("gap", "pfx")), gap, count), "peels")
-                    change(op, got.select(F.explode(F.array(*[f"k{i + 1}" for i in range(count)])).alias("k")))
-                    done.append(got.select("pfx"))
-                    n_got = got.count()
-                    peels += n_got
-                    received += n_got * count * 32 if side == "p" else 0
+                    one = peeled(at(near.where(F.col("side") == side), depth).select("pfx", "k", *L.NAMES), gap, count)
+                    parts.append(one.select(F.lit(op).alias("op"), F.lit(count).alias("size"), "pfx", F.array(*[f"k{i + 1}" for i in range(count)]).alias("ks")))
+            if parts:
+                got = written(reduce(DataFrame.unionAll, parts), "peels")  # all kinds of leaves at once, as a level's jobs cost more than its rows
+                found.append(got.select("op", F.explode("ks").alias("k")))
+                for r in got.groupBy("op", "size").count().collect():
+                    peels += r["count"]
+                    received += r["count"] * r["size"] * 32 if r["op"] == "add" else 0
             failed = leaves
-            for d in done:
-                failed = failed.join(d, "pfx", "left_anti")
+            if parts:
+                failed = failed.join(got.select("pfx"), "pfx", "left_anti")
             if depth >= DEEPEST:
                 failed = written(failed, "failed")
                 mine, theirs = keys("p", depth, failed), keys("r", depth, failed)

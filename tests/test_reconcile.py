@@ -232,3 +232,12 @@ def test_written_tables_can_be_removed(spark, tmp_path):
     import os
 
     assert os.path.exists(path) and recovery.clean_up(spark) >= 3 and not os.path.exists(path)
+
+
+def test_leaves_of_a_level_are_peeled_in_one_table(spark, monkeypatch):
+    """However many kinds of leaves a level has, it writes one table of what they gave."""
+    made, write = [], trie.written
+    monkeypatch.setattr(trie, "written", lambda df, tag: made.append(tag) or write(df, tag))
+    done = trie.reconcile(table(spark, [key(i) for i in range(60) if i % 7]), table(spark, [key(i) for i in range(60) if i % 5]))
+    assert {(r.op, r.k) for r in done.changes.collect()} == {("add", key(i)) for i in range(0, 60, 5) if i % 7} | {("remove", key(i)) for i in range(0, 60, 7) if i % 5}
+    assert made.count("peels") <= made.count("nodes") and "peeled" not in made and "peels" in made
